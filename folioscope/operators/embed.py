@@ -9,17 +9,16 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Texts per call and tokens per text.
+# Fixed value: texts per call.
 BATCH_SIZE = 16
-MAX_TOKENS = 512
 
 
 def embed_texts(
     df: DataFrame, text_col: str, load_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]],
-    out_col: str = "embedding", batch_size: int = BATCH_SIZE, max_tokens: int | None = MAX_TOKENS,
+    out_col: str = "embedding", batch_size: int = BATCH_SIZE, max_tokens: int | None = None,
 ) -> DataFrame:
     """Add one vector per text. ``load_encoder`` runs once per Python worker; it returns a function from an array of
-    texts to a matrix of vectors. Encoders read at most ``max_tokens`` tokens; None sends whole texts.
+    texts to a matrix of vectors. Whole texts are sent; ``max_tokens`` is for an encoder with an input limit.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     if max_tokens is not None:

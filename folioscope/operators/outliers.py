@@ -39,6 +39,10 @@ def ranked_classes(proba: str | Column) -> Column:
     return F.transform(F.sort_array(entries), lambda e: F.struct((-e["p"]).alias("p"), e["class"].alias("class")))
 
 
+def status_text(label: Column, predicted: Column) -> Column:
+    return F.when(label.eqNullSafe(predicted), F.lit(STATUS_ATYPICAL)).otherwise(F.lit(STATUS_ERROR))
+
+
 def predicted_class(proba: str | Column) -> Column:
     return F.get(ranked_classes(proba), F.lit(0))["class"]
 
@@ -185,7 +189,7 @@ def dossier(
         with_percent(F.col("_challenger.class"), F.col("_challenger.p")).alias("Challenger (2nd)"),
         F.array_join(top_words(anchors, top_n), ", ").alias("Mots Ancres (Confirmant)"),
         F.array_join(top_words(defectors, top_n), ", ").alias("Mots Transfuges (Vers Challenger)"),
-        F.when(F.col("_predicted") == F.col(label), F.lit(STATUS_ATYPICAL)).otherwise(F.lit(STATUS_ERROR)).alias("Statut"),
+        status_text(F.col(label), F.col("_predicted")).alias("Statut"),
     )
 
 

@@ -42,18 +42,17 @@ def metadata_csv(spark: SparkSession, path: str, columns: dict[str, str] | None
 
 
 def text_folder(
-    spark: SparkSession, path: str, id_col: str = "id", text_col: str = "text_content", recursive: bool = False
+    spark: SparkSession, path: str, id_col: str = "id", text_col: str = "text_content", recursive: bool = False,
+    key_pattern: str | None = None,
 ) -> DataFrame:
-    """One row per ``*.txt`` file; the file name without extension is the key."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.txt")
-        .option("recursiveFileLookup", recursive)
-        .text(path)
-    )
-    return files.select(
-        document_name(F.col("_metadata.file_name")).alias(id_col), F.col("value").alias(text_col)
-    )
+    """One row per ``*.txt`` file. The key is the file name without extension, or the first group of
+    ``key_pattern`` in the file's path."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=recursive)
+    if key_pattern is None:
+        key = document_name(F.col("_metadata.file_name"))
+    else:
+        key = F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1)
+    return files.select(key.alias(id_col), F.col("value").alias(text_col))
 
 
 def preview(df: DataFrame, id_col: str, text_col: str, n: int = 3, n_chars: int = 800) -> DataFrame:
