@@ -58,14 +58,15 @@ def _(t: Tables) -> DataFrame:
     return L.keep_round(scanned).where(F.col("support") != "")
 
 
-@register("s2_text_folder", "SELECT doc_id, text FROM documents")
+@register("s2_text_folder", "SELECT item_id, text FROM benchmark")
 def _(t: Tables) -> DataFrame:
+    # One file per text, as the source format has it, from the table of short texts.
     path = scratch_path(t.spark, "texts")
-    t.documents.select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    files = text_folder(t.spark, path, "doc_id", "text", recursive=True, key_pattern=r"doc_id=(\d+)/[^/]*\.txt$")
+    t.benchmark.select("item_id", "text").write.partitionBy("item_id").text(path)
+    files = text_folder(t.spark, path, "item_id", "text", recursive=True, key_pattern=r"item_id=(\d+)/[^/]*\.txt$")
     # The text writer ends every document with a line break.
     return files.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace("text", r"\n\z", "").alias("text")
+        F.col("item_id").cast("long").alias("item_id"), F.regexp_replace("text", r"\n\z", "").alias("text")
     )
 
 
