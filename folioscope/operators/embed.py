@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: texts per call.
 BATCH_SIZE = 16
@@ -23,5 +24,5 @@ def embed_texts(
     text = F.coalesce(F.col(text_col), F.lit(""))
     if max_tokens is not None:
         text = F.array_join(F.slice(F.split(text, r"\s+"), 1, max_tokens), " ")
-    encode = predict_batch_udf(load_encoder, return_type="array<float>", batch_size=batch_size)
+    encode = predict_batch_udf(load_encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.withColumn(out_col, encode(text))

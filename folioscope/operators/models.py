@@ -6,7 +6,7 @@ Training is Spark ML; the loops below run over folds and grid points, never over
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from folioscope.operators.metrics import classification_report, confusion_counts, stratified_folds
-from folioscope.operators.vectorize import TfidfVectorizer, vocabulary_of
-from folioscope.session import class_list
+from folioscope.operators.vectorize import TfidfVectorizer, term_array, vocabulary_of
+from folioscope.session import class_list, materialised
 
 # The three parameter grids.
 LOGISTIC_GRID = {"max_features": [1000, 3000, 5000], "ngram_max": [1, 2], "C": [0.1, 1.0, 10.0]}
@@ -71,6 +71,15 @@ def balanced(df: DataFrame, label: str, weight_col: str = "weight") -> tuple[Dat
     return df.withColumn(weight_col, F.try_element_at(F.create_map(*weights), F.col(label))), float(n)
 
 
+def gathered(df: DataFrame, rows: float, per_partition: int = 2_000) -> DataFrame:
+    """Fewer, fuller partitions for iterative training on little data.
+
+    Every iteration starts one task per partition. Merging is narrow, and above ``per_partition`` rows per partition
+    nothing changes.
+    """
+    return df.coalesce(max(1, int(np.ceil(rows / per_partition))))
+
+
 # -- estimators -------------------------------------------------------------------------------------------------------
 
 
@@ -83,7 +92,7 @@ def fit_logistic(
     return LogisticRegression(
         featuresCol=features, labelCol=label, weightCol="weight", family="multinomial", elasticNetParam=0.0,
         standardization=False, regParam=1.0 / (C * total), maxIter=max_iter, tol=tol,
-    ).fit(weighted)
+    ).fit(gathered(weighted, total))
 
 
 def fit_forest(
@@ -108,7 +117,7 @@ def fit_linear_svm(
     machine = LinearSVC(regParam=1.0 / (C * total), maxIter=max_iter, standardization=False)
     return OneVsRest(
         classifier=machine, featuresCol=features, labelCol=label, weightCol="weight", predictionCol="prediction"
-    ).fit(weighted)
+    ).fit(gathered(weighted, total))
 
 
 def rbf_gamma(df: DataFrame, array_col: str, mode: str = "scale") -> float:
@@ -131,20 +140,13 @@ def with_rbf_features(
     """Random Fourier features of the kernel exp(-gamma |x - y|^2) (Rahimi and Recht, 2007), as a vector column."""
 
     @F.pandas_udf("array<double>")
-    def project(batches: Iterable[pd.Series]) -> Iterable[pd.Series]:
-        directions = None
-        for batch in batches:
-            if len(batch) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            x = np.stack(batch.to_numpy()).astype(float)
-            if directions is None:
-                draw = np.random.default_rng(seed)
-                directions = draw.normal(scale=np.sqrt(2 * gamma), size=(x.shape[1], n_components))
-                phase = draw.uniform(0, 2 * np.pi, n_components)
-            yield pd.Series(list(np.sqrt(2.0 / n_components) * np.cos(x @ directions + phase)))
-
-    project.__annotations__ = {}
+    def project(batch: pd.Series) -> pd.Series:
+        x = np.stack(batch.to_numpy()).astype(float)
+        draw = np.random.default_rng(seed)
+        directions = draw.normal(scale=np.sqrt(2 * gamma), size=(x.shape[1], n_components))
+        phase = draw.uniform(0, 2 * np.pi, n_components)
+        return pd.Series(list(np.sqrt(2.0 / n_components) * np.cos(x @ directions + phase)))
+
     return df.withColumn(out_col, array_to_vector(project(F.col(array_col).cast("array<double>"))))
 
 
@@ -223,7 +225,10 @@ def fit_text_logistic(
 ) -> TextClassifier:
     """Vocabulary, idf, class weights and penalty all come from ``train`` alone."""
     vectorizer = TfidfVectorizer(inputCol=tokens, maxFeatures=max_features, ngramMax=ngram_max).fit(train)
-    return TextClassifier(vectorizer, fit_logistic(vectorizer.transform(train), C=C, max_iter=max_iter), classes)
+    vectors = vectorizer.transform(train).select("features", "label_index").persist(StorageLevel.MEMORY_AND_DISK)
+    classifier = fit_logistic(vectors, C=C, max_iter=max_iter)
+    vectors.unpersist()
+    return TextClassifier(vectorizer, classifier, classes)
 
 
 def logistic_regression_job(
@@ -232,32 +237,47 @@ def logistic_regression_job(
 ) -> LogisticJob:
     """Grid search by stratified folds, refit on all rows, out-of-fold predictions, report and confusion counts.
 
-    The grid is grouped by vectoriser setting: a fold is vectorised once per setting and serves every C.
+    The grid is grouped by vectoriser setting: a fold is vectorised once per setting and serves every C. The fold
+    models of the best point are kept, as they are the ones that make its out-of-fold predictions.
     """
     grid = LOGISTIC_GRID if grid is None else grid
     classes = class_list(df, label)
     data = with_label_index(df.where(F.col(label).isNotNull()).select(key, label, tokens), label, classes)
-    data = with_folds(data, key, label, cv_folds, random_state).persist(StorageLevel.MEMORY_AND_DISK)
-    strengths = list(grid["C"])
-    scores: dict[tuple, list[float]] = {}
+    data = materialised(with_folds(data, key, label, cv_folds, random_state), "folds")
+    means: list[tuple[dict, float]] = []
+    best_score, best_models = -1.0, []
     for features, ngram in itertools.product(grid["max_features"], grid["ngram_max"]):
+        strengths = list(grid["C"])
+        scores: list[list[float]] = [[] for _ in strengths]
+        models: list[list[TextClassifier]] = [[] for _ in strengths]
         for fold in range(cv_folds):
             train, held_out = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
             vectorizer = TfidfVectorizer(inputCol=tokens, maxFeatures=features, ngramMax=ngram).fit(train)
-            train_vectors = vectorizer.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-            test_vectors = vectorizer.transform(held_out).persist(StorageLevel.MEMORY_AND_DISK)
-            for c in strengths:
-                model = fit_logistic(train_vectors, C=c, max_iter=max_iter)
-                scores.setdefault((features, ngram, c), []).append(weighted_f1_of(model.transform(test_vectors)))
-            train_vectors.unpersist()
-            test_vectors.unpersist()
-    means = [(dict(zip(("max_features", "ngram_max", "C"), p)), float(np.mean(s))) for p, s in scores.items()]
-    best, cv_score = max(means, key=lambda pair: pair[1])
-    fit = lambda part: fit_text_logistic(part, tokens, classes, max_iter=max_iter, **best)
-    predictions = with_class_name(out_of_fold(data, cv_folds, fit), "prediction", classes, "predicted_label")
+            parts = [
+                vectorizer.transform(part).select("features", "label_index").persist(StorageLevel.MEMORY_AND_DISK)
+                for part in (train, held_out)
+            ]
+            for i, c in enumerate(strengths):
+                classifier = fit_logistic(parts[0], C=c, max_iter=max_iter)
+                scores[i].append(weighted_f1_of(classifier.transform(parts[1])))
+                models[i].append(TextClassifier(vectorizer, classifier, classes))
+            for part in parts:
+                part.unpersist()
+        for i, c in enumerate(strengths):
+            mean = float(np.mean(scores[i]))
+            means.append(({"max_features": features, "ngram_max": ngram, "C": c}, mean))
+            if mean > best_score:
+                best_score, best_models = mean, models[i]
+    best = max(means, key=lambda pair: pair[1])[0]
+    held_out = [model.transform(data.where(F.col("fold") == f)) for f, model in enumerate(best_models)]
+    predictions = held_out[0]
+    for part in held_out[1:]:
+        predictions = predictions.unionByName(part)
+    predictions = with_class_name(predictions, "prediction", classes, "predicted_label")
     predictions = predictions.select(key, label, "fold", "predicted_label")
     return LogisticJob(
-        fit(data), best, cv_score, predictions, classification_report(predictions, label, "predicted_label"),
+        fit_text_logistic(data, tokens, classes, max_iter=max_iter, **best), best, best_score, predictions,
+        classification_report(predictions, label, "predicted_label"),
         confusion_counts(predictions, label, "predicted_label"), means,
     )
 
@@ -274,15 +294,14 @@ def coefficient_matrix(df: DataFrame, model: TextClassifier) -> DataFrame:
 
 def coefficient_table(df: DataFrame, model: TextClassifier) -> DataFrame:
     """Tidy ``(class, feature, coef)``."""
-    terms = F.array(*[F.lit(t) for t in model.vocabulary])
+    terms = term_array(model.vocabulary)
     long = coefficient_matrix(df, model).select("class", F.posexplode("values").alias("idx", "coef"))
     return long.select("class", F.get(terms, F.col("idx")).alias("feature"), "coef")
 
 
-def melt_coefficients(wide: DataFrame, class_col: str = "class") -> DataFrame:
-    """Wide (one column per feature) to tidy ``(class, feature, coef)``."""
-    features = [F.col(f"`{c}`") for c in wide.columns if c != class_col]
-    return wide.unpivot(class_col, features, "feature", "coef").withColumnRenamed(class_col, "class")
+def melt_coefficients(wide: DataFrame, key: str) -> DataFrame:
+    """Wide (one column per name) to tidy ``(key, name, coef)``."""
+    return wide.unpivot(key, [F.col(f"`{c}`") for c in wide.columns if c != key], "name", "coef")
 
 
 def model_assets(df: DataFrame, model: TextClassifier) -> dict[str, DataFrame]:

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.session import checkpointed, measured_broadcast
+from folioscope.session import materialised, measured_broadcast
 
 LEAF = 64
 DEPTH = 24
@@ -54,18 +54,18 @@ def nearest_labels(
         .agg(F.collect_list(F.struct("id", "label")).alias("near"))
         .withColumns({"ix": index("_x", low_x), "iy": index("_y", low_y)})
     )
-    sites = checkpointed(sites)
+    sites = materialised(sites)
 
     levels = sites.select("_x", "_y", "ix", "iy", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
     placed = levels.withColumns(
         {"cx": F.expr(f"shiftright(ix, {depth} - level)"), "cy": F.expr(f"shiftright(iy, {depth} - level)")}
     )
-    cells = checkpointed(placed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n")))
+    cells = materialised(placed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n")))
     divided = cells.where((F.col("n") > leaf) & (F.col("level") < depth)).select("level", "cx", "cy")
     marked = placed.join(
         measured_broadcast(divided).withColumn("_divided", F.lit(True)), ["level", "cx", "cy"], "left"
     )
-    home = checkpointed(
+    home = materialised(
         marked.groupBy("_x", "_y", "ix", "iy").agg(
             F.coalesce(F.max(F.when(F.col("_divided"), F.col("level"))) + 1, F.lit(0)).alias("home")
         )
@@ -113,7 +113,7 @@ def nearest_labels(
     )
     settled = None
     while True:
-        frontier = checkpointed(bounded(frontier))
+        frontier = materialised(bounded(frontier))
         done = frontier.where(~F.col("_pending")).select("_x", "_y", "level", "cx", "cy")
         settled = done if settled is None else settled.unionByName(done)
         pending = frontier.where("_pending")

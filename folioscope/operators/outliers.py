@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import ratio, with_percent
 from folioscope.operators.distance import broadcast_rows
-from folioscope.operators.vectorize import vector_entries
+from folioscope.operators.vectorize import term_array, vector_entries
 from folioscope.session import measured_broadcast
 
 # Names of the detection methods and of the two states of an outlier.
@@ -115,7 +115,7 @@ def method_summary(
 
 def coefficient_rows(coefficients: DataFrame, vocabulary: list[str]) -> DataFrame:
     """``(class, coefs, terms)``: one dense row per class from ``(class, idx, coef)`` or ``(class, values)``."""
-    terms = F.array(*[F.lit(t) for t in vocabulary])
+    terms = term_array(vocabulary)
     rows = measured_broadcast(coefficients.select("class", "values"), broadcast_rows(2 * max(1, len(vocabulary))))
     return rows.select("class", F.col("values").alias("coefs"), terms.alias("terms"))
 

@@ -90,6 +90,11 @@ def vocabulary_of(model: PipelineModel) -> list[str]:
     raise ValueError("no vectoriser in this model")
 
 
+def term_array(vocabulary: list[str]) -> Column:
+    """The vocabulary as one constant array; terms never hold a line break."""
+    return F.split(F.lit("\n".join(vocabulary)), "\n")
+
+
 def feature_names(df: DataFrame, model: PipelineModel) -> DataFrame:
     """``(idx, term)``; bounded by ``maxFeatures``."""
     terms = list(enumerate(vocabulary_of(model)))

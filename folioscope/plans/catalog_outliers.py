@@ -195,9 +195,9 @@ def method_summary(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     m = centroid_model(t)
     by_term = m.coefficient_table().groupBy("feature").pivot("class", m.classes).agg(F.max("coef"))
-    # Melting back gives one row per class and feature; features a class never uses come back null.
-    long = melt_coefficients(by_term, "feature").select(F.col("feature").alias("class"), F.col("class").alias("feature"), "coef")
-    return long.where(F.col("coef").isNotNull()).withColumn("coef", F.round("coef", 8))
+    # One column per class; a class that never uses a feature holds null there.
+    long = melt_coefficients(by_term, "feature").where(F.col("coef").isNotNull())
+    return long.select(F.col("name").alias("class"), "feature", F.round("coef", 8).alias("coef"))
 
 
 TOP_SQL = """tw AS (SELECT class, feature, coef, row_number() OVER (PARTITION BY class ORDER BY abs(coef) DESC, feature) AS rank

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.distance import class_sums, dense_rows
 from folioscope.operators.outliers import coefficient_rows, predicted_class
-from folioscope.operators.vectorize import TfidfVectorizer, postings, vocabulary_of
-from folioscope.session import MAX_BROADCAST_ROWS, class_list, measured_broadcast
+from folioscope.operators.vectorize import TfidfVectorizer, postings, term_array, vocabulary_of
+from folioscope.session import MAX_BROADCAST_ROWS, class_list, materialised, measured_broadcast
 
 
 @dataclass
@@ -39,7 +39,7 @@ class CentroidModel:
 
     def coefficient_table(self) -> DataFrame:
         """``(class, feature, coef)``."""
-        terms = F.array(*[F.lit(t) for t in self.vocabulary])
+        terms = term_array(self.vocabulary)
         return self.long_coefficients().select("class", F.get(terms, F.col("idx")).alias("feature"), "coef")
 
     def rows(self) -> DataFrame:
@@ -77,9 +77,9 @@ class CentroidModel:
 
 
 def fit_centroid_model(docs: DataFrame, key: str, label: str, tokens: str, max_features: int) -> CentroidModel:
-    """``docs`` holds key, label and tokens."""
+    """``docs`` holds key, label and tokens. The vectors, a small share of the text, are written once and reused."""
     model = TfidfVectorizer(inputCol=tokens, maxFeatures=max_features).fit(docs)
-    vectors = model.transform(docs).drop(tokens)
+    vectors = materialised(model.transform(docs).drop(tokens), "vectors")
     return CentroidModel(
         vectors, vocabulary_of(model), class_list(docs, label), class_sums(vectors, label, "features"), key, label
     )

@@ -9,14 +9,14 @@ from folioscope.operators.distance import centroid_distance, centroid_outliers
 from folioscope.operators.models import TextClassifier, plane_projection, score_table
 from folioscope.operators.neighbours import neighbour_outliers
 from folioscope.operators.outliers import hesitation, low_confidence
-from folioscope.session import checkpointed
+from folioscope.session import materialised
 
 
 def master_table(df: DataFrame, model: TextClassifier, label: str) -> DataFrame:
     """Scores, plane coordinates and centroid distance; materialised once for all that follows."""
     scored = plane_projection(score_table(df, model, label))
     size = len(model.vocabulary)
-    return checkpointed(centroid_distance(checkpointed(scored), label, "features", size, classes=model.classes))
+    return materialised(centroid_distance(materialised(scored), label, "features", size, classes=model.classes))
 
 
 def flagged_table(

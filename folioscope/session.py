@@ -2,12 +2,11 @@
 
 * ``measured_broadcast`` is the only place where a broadcast is asked for: it happens behind a row and byte check,
   and a side that is too big goes through an ordinary shuffle join (adaptive execution splits skewed partitions).
-* ``checkpointed`` cuts lineage in the shared folder named by ``spark.checkpoint.dir``.
+* ``materialised`` cuts lineage with a table in the shared folder named by ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -37,26 +36,34 @@ def build_session(app: str = "folioscope", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder. A temporary folder is made only when none is named, as in tests."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``. One of our own is made only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="folioscope-")
+    return _OWN_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that later jobs do not replay its lineage and survive lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Later jobs start from the files, so they neither replay the lineage nor depend on executors staying alive, read
+    only the columns they use, and are planned with real sizes.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def measured_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -85,4 +92,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Such an input is at most a few dozen megabytes (a split is 4 MB or more), so the exchange is cheap.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df
