@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import lexical_tokens, ratio, sentence_count
 from folioscope.operators.arrays import unnest, with_term_counts
-from folioscope.session import measured_broadcast
+from folioscope.session import MAX_BROADCAST_ROWS, measured_broadcast
 
 METRICS = ["nb_words", "nb_sentences", "words_per_sentence", "vocab_size_doc", "ttr", "hapax_ratio"]
 
@@ -83,17 +83,27 @@ def class_terms(df: DataFrame, label: str, tokens_col: str, k: int) -> DataFrame
     return top.withColumn("rel_freq", ratio(F.col("n"), F.max("n").over(Window.partitionBy(label))))
 
 
-def keep_vocabulary(df: DataFrame, id_col: str, tokens_col: str, vocabulary: DataFrame, out_col: str) -> DataFrame:
-    """``(id, out_col)``: each document's tokens that are in ``vocabulary (term)``; order and repeats are kept.
+def keep_vocabulary(
+    df: DataFrame, id_col: str, tokens_col: str, vocabulary: DataFrame, out_col: str, hot_words: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """``(id, out_col)``: each document's tokens that are in ``vocabulary (term, n_docs)``; order and repeats kept.
 
-    A vocabulary that passes the size check is broadcast and only the regrouping by document shuffles. Otherwise
-    this is a shuffle join on the word, whose hot words adaptive execution splits on the document side.
-    Documents that lose every word stay, with an empty array.
+    A vocabulary that passes the size check is broadcast and only the regrouping by document shuffles. A larger one
+    is cut in two: its ``hot_words`` most used words, nearly all of the tokens, are broadcast, and only the tokens
+    they leave open are joined by word, where no word is frequent. Documents that lose every word stay, empty.
     """
     placed = F.transform(tokens_col, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     long = df.select(id_col, F.explode_outer(placed).alias("w")).select(id_col, "w.term", "w.pos")
-    known = measured_broadcast(vocabulary.select("term")).withColumn("_known", F.lit(True))
-    marked = long.join(known, "term", "left")
+    top = vocabulary.orderBy(F.desc("n_docs"), "term").limit(hot_words + 1).select("term").toArrow()
+    hot = df.sparkSession.createDataFrame(top.slice(0, hot_words), schema="term string")
+    marked = long.join(F.broadcast(hot.withColumn("_known", F.lit(True))), "term", "left")
+    if top.num_rows > hot_words:
+        open_tokens = F.col("_known").isNull() & F.col("pos").isNotNull()
+        rest = vocabulary.select("term").withColumn("_rest", F.lit(True))
+        tail = marked.where(open_tokens).join(rest, "term", "left").select(
+            "term", id_col, "pos", F.col("_rest").alias("_known")
+        )
+        marked = marked.where(~open_tokens).select("term", id_col, "pos", "_known").unionByName(tail)
     pieces = F.collect_list(F.when(F.col("_known"), F.struct("pos", "term")))
     return marked.groupBy(id_col).agg(F.sort_array(pieces).alias("_kept")).select(
         id_col, F.col("_kept.term").alias(out_col)

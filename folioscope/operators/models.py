@@ -243,7 +243,8 @@ def logistic_regression_job(
     grid = LOGISTIC_GRID if grid is None else grid
     classes = class_list(df, label)
     data = with_label_index(df.where(F.col(label).isNotNull()).select(key, label, tokens), label, classes)
-    data = materialised(with_folds(data, key, label, cv_folds, random_state), "folds")
+    data = with_folds(materialised(data, "tokens"), key, label, cv_folds, random_state)
+    data = materialised(data, "folds")
     means: list[tuple[dict, float]] = []
     best_score, best_models = -1.0, []
     for features, ngram in itertools.product(grid["max_features"], grid["ngram_max"]):

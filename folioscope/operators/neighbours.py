@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from folioscope.session import materialised, measured_broadcast
 
 LEAF = 64
-DEPTH = 24
+DEPTH = 40
+COARSE = 8
 SLACK = 1e-9
 
 
@@ -62,8 +63,15 @@ def nearest_labels(
     )
     cells = materialised(placed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n")))
     divided = cells.where((F.col("n") > leaf) & (F.col("level") < depth)).select("level", "cx", "cy")
-    marked = placed.join(
-        measured_broadcast(divided).withColumn("_divided", F.lit(True)), ["level", "cx", "cy"], "left"
+    # All points share a few coarse cells. Levels up to 8 have at most 87,381 cells, so those always fit a broadcast
+    # and their hot keys never meet a shuffle; deeper levels go through the size check.
+    deep = measured_broadcast(divided.where(F.col("level") > COARSE))
+    shallow = F.broadcast(divided.where(F.col("level") <= COARSE))
+    flag = F.lit(True)
+    cell = ["level", "cx", "cy"]
+    marked = (
+        placed.where(F.col("level") <= COARSE).join(shallow.withColumn("_divided", flag), cell, "left")
+        .unionByName(placed.where(F.col("level") > COARSE).join(deep.withColumn("_divided", flag), cell, "left"))
     )
     home = materialised(
         marked.groupBy("_x", "_y", "ix", "iy").agg(

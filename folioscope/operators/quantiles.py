@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.session import measured_broadcast
+from folioscope.session import materialised, measured_broadcast
 
 BRACKET = 0.001
 SKETCH_ACCURACY = 100_000
@@ -24,6 +24,8 @@ def group_quantiles(df: DataFrame, group: str, value: str, shares: Sequence[floa
     data = df.select(group, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & F.col(group).isNotNull()
     )
+    # Two narrow columns, used three times below: written once, so that the measure is not computed again.
+    data = materialised(data, "values")
     probes = sorted({min(max(s + d, 0.0), 1.0) for s in shares for d in (-BRACKET, BRACKET)})
     cuts = data.groupBy(group).agg(
         F.count("*").alias("n"),

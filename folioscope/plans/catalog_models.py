@@ -22,7 +22,7 @@ ONE_POINT = {"max_features": [MAX_FEATURES], "ngram_max": [1], "C": [1.0]}
 
 
 def fitted(t: Tables):
-    docs, classes = tokens(t), class_list(t.documents, "lang")
+    docs, classes = materialised(tokens(t), "tokens"), class_list(t.documents, "lang")
     return docs, M.fit_text_logistic(M.with_label_index(docs, "lang", classes), "tokens", classes, MAX_FEATURES, 1, 1.0)
 
 

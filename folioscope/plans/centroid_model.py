@@ -77,7 +77,8 @@ class CentroidModel:
 
 
 def fit_centroid_model(docs: DataFrame, key: str, label: str, tokens: str, max_features: int) -> CentroidModel:
-    """``docs`` holds key, label and tokens. The vectors, a small share of the text, are written once and reused."""
+    """``docs`` holds key, label and tokens. Tokens and vectors are written once: cleaning text is the dear step."""
+    docs = materialised(docs, "tokens")
     model = TfidfVectorizer(inputCol=tokens, maxFeatures=max_features).fit(docs)
     vectors = materialised(model.transform(docs).drop(tokens), "vectors")
     return CentroidModel(

@@ -99,6 +99,14 @@ def test_rare_words_keep_order_repeats_and_empty_documents(spark):
     assert kept == {**{i: ["cinq", "cinq"] for i in range(4)}, 4: ["cinq"], 5: [], 6: []}
 
 
+def test_large_vocabulary_is_split_in_hot_words_and_tail(spark):
+    frame = spark.createDataFrame([(1, ["a", "b", "c", "d", "a"]), (2, ["d"]), (3, [])], "id int, tokens array<string>")
+    vocabulary = spark.createDataFrame([("a", 9), ("b", 2), ("c", 1)], "term string, n_docs int")
+    for hot in (1, 2, 3, 10):
+        kept = {r.id: r.kept for r in L.keep_vocabulary(frame, "id", "tokens", vocabulary, "kept", hot).collect()}
+        assert kept == {1: ["a", "b", "c", "a"], 2: [], 3: []}
+
+
 def test_lemmas_replace_known_forms(spark):
     frame = spark.createDataFrame([(1, ["vont", "ils", "vont"]), (2, [])], "id int, tokens array<string>")
     table = spark.createDataFrame([("vont", "aller")], "form string, lemma string")
