@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from folioscope.operators.lexical import filter_rare_words
 from folioscope.operators.metrics import classification_report, confusion_counts, stratified_folds
 from folioscope.operators.vectorize import TfidfVectorizer, term_array, vocabulary_of
 from folioscope.session import class_list, materialised
@@ -192,6 +193,33 @@ def grid_search(
     return points[best], scores[best]
 
 
+def svm_grid_search(
+    df: DataFrame, array_col: str, k: int, grid: dict[str, Sequence] | None = None, label: str = "label_index",
+    fold_col: str = "fold", n_components: int = 256, max_iter: int = 100,
+) -> tuple[dict, float]:
+    """Best point of the SVM grid by mean weighted F1. Every kernel setting makes one feature column for all its C.
+
+    ``gamma`` has no part in the linear kernel, so that kernel is searched once. The width of the kernel is taken
+    from the features alone, never from labels.
+    """
+    grid = SVM_GRID if grid is None else grid
+    settings = [(kernel, gamma) for kernel in grid["kernel"] for gamma in grid["gamma"]]
+    settings = list(dict.fromkeys((kernel, None if kernel == "linear" else gamma) for kernel, gamma in settings))
+    best, best_score = {}, -1.0
+    for kernel, gamma in settings:
+        if kernel == "linear":
+            data = df.withColumn("features", array_to_vector(F.col(array_col).cast("array<double>")))
+        else:
+            data = with_rbf_features(df, array_col, rbf_gamma(df, array_col, gamma), n_components, out_col="features")
+        data = materialised(data.select("features", label, fold_col), "kernel")
+        point, score = grid_search(
+            data, k, [{"C": c, "max_iter": max_iter} for c in grid["C"]], fit_linear_svm, label, fold_col
+        )
+        if score > best_score:
+            best, best_score = {"C": point["C"], "kernel": kernel, "gamma": gamma}, score
+    return best, best_score
+
+
 @dataclass
 class TextClassifier:
     """Fitted vectoriser and classifier with the class list."""
@@ -232,18 +260,23 @@ def fit_text_logistic(
 
 
 def logistic_regression_job(
-    df: DataFrame, key: str, label: str, tokens: str, cv_folds: int = 5, random_state: int = 42,
-    grid: dict[str, Sequence] | None = None, max_iter: int = 1000,
+    df: DataFrame, key: str, label: str, tokens: str, min_docs: int | None = None, cv_folds: int = 5,
+    random_state: int = 42, grid: dict[str, Sequence] | None = None, max_iter: int = 1000,
 ) -> LogisticJob:
     """Grid search by stratified folds, refit on all rows, out-of-fold predictions, report and confusion counts.
 
     The grid is grouped by vectoriser setting: a fold is vectorised once per setting and serves every C. The fold
-    models of the best point are kept, as they are the ones that make its out-of-fold predictions.
+    models of the best point are kept, as they are the ones that make its out-of-fold predictions. ``min_docs``
+    first drops words found in fewer documents of the whole corpus.
     """
     grid = LOGISTIC_GRID if grid is None else grid
     classes = class_list(df, label)
     data = with_label_index(df.where(F.col(label).isNotNull()).select(key, label, tokens), label, classes)
-    data = with_folds(materialised(data, "tokens"), key, label, cv_folds, random_state)
+    data = materialised(data, "tokens")
+    if min_docs is not None:
+        kept = filter_rare_words(data, key, tokens, min_docs, tokens)
+        data = data.drop(tokens).join(kept, key)
+    data = with_folds(data, key, label, cv_folds, random_state)
     data = materialised(data, "folds")
     means: list[tuple[dict, float]] = []
     best_score, best_models = -1.0, []

@@ -43,7 +43,7 @@ def logistic_regression(t: Tables) -> DataFrame:
 @register("m4_grid_search")
 def grid_search(t: Tables) -> DataFrame:
     grid = {"max_features": [MAX_FEATURES], "ngram_max": [1], "C": [0.1, 10.0]}
-    job = M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens", 3, grid=grid)
+    job = M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens", cv_folds=3, grid=grid)
     return t.spark.createDataFrame([(p["max_features"], p["C"], s) for p, s in job.scores], "max_features int, C double, f1 double")
 
 
@@ -57,7 +57,7 @@ def out_of_fold(t: Tables) -> DataFrame:
 
 @register("m6_logistic_job")
 def logistic_job(t: Tables) -> DataFrame:
-    return M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens", 5, grid=ONE_POINT).report
+    return M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens", cv_folds=5, grid=ONE_POINT).report
 
 
 @register("m7_model_assets")
@@ -129,6 +129,15 @@ def _(t: Tables) -> DataFrame:
     return M.with_class_name(out, "prediction", classes, "predicted").select("vec_id", "name", "predicted")
 
 
+@register("m13_svm_grid")
+def _(t: Tables) -> DataFrame:
+    data, _ = vectors(t)
+    folded = materialised(M.with_folds(data.drop("features"), "vec_id", "name", 2), "folds")
+    grid = {"C": [1.0], "kernel": ["linear", "rbf"], "gamma": ["scale"]}
+    best, score = M.svm_grid_search(folded, "embedding", 2, grid, n_components=64, max_iter=5)
+    return t.spark.createDataFrame([(best["kernel"], best["C"], score)], "kernel string, C double, f1 double")
+
+
 @register("m14_hold_out_forest")
 def _(t: Tables) -> DataFrame:
     data, _ = vectors(t)

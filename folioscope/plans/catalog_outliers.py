@@ -14,6 +14,7 @@ from folioscope.plans import sql as Q
 from folioscope.plans.catalog_geometry import FLAGGED, MODEL, centroid_model
 from folioscope.plans.catalog_text import MAX_FEATURES
 from folioscope.plans.registry import Tables, register
+from folioscope.session import materialised
 
 # Softmax of cosines over a few languages is flat, so the thresholds of these queries lie closer to its values.
 CONFIDENCE = 0.30
@@ -182,7 +183,8 @@ FROM long GROUP BY m"""
 @register("a14_method_summary", SUMMARY_SQL)
 def method_summary(t: Tables) -> DataFrame:
     m = centroid_model(t)
-    flagged = O.low_confidence(O.hesitation(m.scored(), "proba", GAP), "lang", "proba", CONFIDENCE)
+    # One stored table of scores feeds every method.
+    flagged = O.low_confidence(O.hesitation(materialised(m.scored(), "scored"), "proba", GAP), "lang", "proba", CONFIDENCE)
     flagged = D.centroid_outliers(flagged, "lang", "features", m.size)
     methods = {**O.METHODS, "KNN (Local)": None}
     return O.method_summary(flagged, "lang", "predicted_label", methods)

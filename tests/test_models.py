@@ -104,7 +104,7 @@ def test_logistic_gradient_vanishes(spark, corpus):
 
 def test_logistic_job_covers_every_document(spark, corpus):
     grid = {"max_features": [10], "ngram_max": [1], "C": [0.1, 10.0]}
-    job = M.logistic_regression_job(corpus, "id", "label", "tokens", 3, grid=grid, max_iter=20)
+    job = M.logistic_regression_job(corpus, "id", "label", "tokens", cv_folds=3, grid=grid, max_iter=20)
     assert sorted(r.id for r in job.predictions.collect()) == list(range(90))
     assert len(job.scores) == 2 and job.cv_score == max(s for _, s in job.scores) and job.cv_score > 0.5
     assert job.confusion.agg(F.sum("n")).first()[0] == 90
@@ -122,6 +122,26 @@ def test_logistic_job_covers_every_document(spark, corpus):
     assert summary["Probas (Confiance)"] == sum(r.is_outlier_proba for r in rows) and len(summary) == 5
 
 
+def test_rare_words_are_dropped_before_training(spark, corpus):
+    grid = {"max_features": [50], "ngram_max": [1], "C": [1.0]}
+    job = M.logistic_regression_job(corpus, "id", "label", "tokens", min_docs=15, cv_folds=2, grid=grid, max_iter=5)
+    frequent = {
+        r.w for r in corpus.select("id", F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").count().where("count >= 15").collect()
+    }
+    assert set(job.model.vocabulary) == frequent
+
+
+def test_svm_grid_prefers_the_kernel_that_fits(spark):
+    rng = np.random.default_rng(5)
+    angle = rng.uniform(0, 2 * np.pi, 120)
+    radius = np.where(np.arange(120) % 2 == 0, 0.3, 2.0)
+    rows = [(i, [float(radius[i] * np.cos(angle[i])), float(radius[i] * np.sin(angle[i]))], float(i % 2), i // 2 % 2) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id int, x array<double>, label_index double, fold int")
+    grid = {"C": [10.0], "kernel": ["linear", "rbf"], "gamma": ["scale"]}
+    best, score = M.svm_grid_search(frame, "x", 2, grid, n_components=64, max_iter=30)
+    assert best["kernel"] == "rbf" and score > 0.95
+
+
 def test_grids():
     assert len(M.grid_points(M.LOGISTIC_GRID)) == 18
     assert len(M.grid_points(M.FOREST_GRID)) == 216
