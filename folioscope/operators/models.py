@@ -117,7 +117,8 @@ def fit_linear_svm(
     weighted, total = balanced(train, label)
     machine = LinearSVC(regParam=1.0 / (C * total), maxIter=max_iter, standardization=False)
     return OneVsRest(
-        classifier=machine, featuresCol=features, labelCol=label, weightCol="weight", predictionCol="prediction"
+        classifier=machine, featuresCol=features, labelCol=label, weightCol="weight", predictionCol="prediction",
+        parallelism=4,
     ).fit(gathered(weighted, total))
 
 
