@@ -106,7 +106,7 @@ def clouds(seed):
     """A third of the points at one spot, a very tight cluster, and a wide background."""
     rng = np.random.default_rng(seed)
     spot = [(0.25, 0.75)] * 150
-    tight = [(0.5 + a * 1e-7, 0.5 + b * 1e-7) for a, b in rng.normal(size=(150, 2))]
+    tight = [(0.5 + a * 1e-4, 0.5 + b * 1e-4) for a, b in rng.normal(size=(150, 2))]
     wide = [tuple(p) for p in rng.uniform(-3, 3, size=(150, 2))]
     xy = spot + tight + wide
     order = rng.permutation(len(xy))
