@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import distance as D
 from folioscope.operators import metrics as M
-from folioscope.operators import neighbours as N
 from folioscope.operators import outliers as O
 from folioscope.operators.models import melt_coefficients, with_probability_columns
 from folioscope.plans import sql as Q

@@ -12,6 +12,7 @@ from folioscope.operators import vectorize as V
 from folioscope.operators.arrays import unnest, with_term_counts
 from folioscope.plans import sql as Q
 from folioscope.plans.registry import Tables, register
+from folioscope.session import materialised
 
 MAX_FEATURES = 1000
 
@@ -173,7 +174,7 @@ j AS (SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS kept FROM tok JOIN v
     f"WITH {RARE_SQL} SELECT doc_id, coalesce(kept, '') AS clean_text_filtered FROM documents LEFT JOIN j USING (doc_id)",
 )
 def rare_words(t: Tables) -> DataFrame:
-    kept = L.filter_rare_words(tokens(t), "doc_id", "tokens", 5)
+    kept = L.filter_rare_words(materialised(tokens(t), "tokens"), "doc_id", "tokens", 5)
     return kept.select("doc_id", F.array_join("tokens_filtered", " ").alias("clean_text_filtered"))
 
 
@@ -287,7 +288,7 @@ def _(t: Tables) -> DataFrame:
 
 @register("v4_tfidf_postings", f"WITH {Q.tfidf(MAX_FEATURES)} SELECT doc_id, term, round(w, 6) AS w FROM w")
 def tfidf_postings(t: Tables) -> DataFrame:
-    docs = tokens(t)
+    docs = materialised(tokens(t), "tokens")
     model = V.TfidfVectorizer(maxFeatures=MAX_FEATURES).fit(docs)
     names = F.broadcast(V.feature_names(docs, model))
     long = V.postings(model.transform(docs), "features", ["doc_id"])
