@@ -7,7 +7,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +35,15 @@ def build_session(app: str = "folioscope", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-_OWN_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``. One of our own is made only where none is named."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of the warehouse where none is named.
+
+    Both are reached by every executor, so a table written there is whole.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDERS:
-        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="folioscope-")
-    return _OWN_FOLDERS[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_folioscope"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
