@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.decontamination import contamination
+from folioscope.llm.language_id import identify_languages
+from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.packing import packed_documents
 from folioscope.llm.sharding import shard_by_ring, sized
+from folioscope.llm.similarity_join import jaccard_join
+from folioscope.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +37,32 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(divisor: int):
+    """crc32 of the id as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@register("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = identify_languages(table(spark, folder, "documents"), remainder(3) != 1)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "entropy", "accepted")
+
+
+@register("op2_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"),
+        F.coalesce(F.array_min("hits.distance"), F.lit(None).cast("int")).alias("least_distance"),
+    )
+
+
+@register("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), remainder(4) != 2)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
 @register("op8_best_fit_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(table(spark, folder, "documents"), tokenizer_file())
@@ -44,3 +75,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@register("op6_jaccard_join")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(table(spark, folder, "documents"))
+
+
+@register("op10_line_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
