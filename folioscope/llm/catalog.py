@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.decontamination import contamination
+from folioscope.llm.html_extraction import main_texts
 from folioscope.llm.language_id import identify_languages
 from folioscope.llm.line_dedup import dedup_lines
+from folioscope.llm.neighbours import nearest_neighbours
 from folioscope.llm.packing import packed_documents
 from folioscope.llm.sharding import shard_by_ring, sized
 from folioscope.llm.similarity_join import jaccard_join
@@ -57,12 +59,23 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op3_neighbours")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 @register("op4_toxicity")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), remainder(4) != 2)
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+@register("op7_html_extraction")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = main_texts(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register("op8_best_fit_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(table(spark, folder, "documents"), tokenizer_file())

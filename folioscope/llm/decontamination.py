@@ -120,14 +120,18 @@ class ItemIndex:
         words = TokenWords()
         self.items = [(i, ids) for i, t in items if len(ids := words.of(t or "")) >= MIN_WORDS]
         self.sizes = sorted({len(ids) for _, ids in self.items})
+        self.reach = np.array([len(ids) + int(RATIO * len(ids)) for _, ids in self.items], np.int64)
         self.seeds = {}
         for q in (1, 2, 3):
-            own = [windowed_hash(ids, q) for _, ids in self.items if seed_width(len(ids)) == q]
+            own = [(k, np.unique(windowed_hash(ids, q))) for k, (_, ids) in enumerate(self.items) if seed_width(len(ids)) == q]
             if own:
-                found = np.unique(np.concatenate(own))
+                grams = np.concatenate([g for _, g in own])
+                holders = np.concatenate([np.full(len(g), k) for k, g in own])
+                order = np.argsort(grams, kind="stable")
                 marks = np.zeros(1 << 22, bool)
-                marks[(found >> np.uint64(42)).astype(np.int64)] = True
-                self.seeds[q] = found, marks
+                marks[(grams >> np.uint64(42)).astype(np.int64)] = True
+                self.seeds[q] = grams[order], holders[order], marks
+        self.needed = np.array([self.least_seeds(len(ids)) for _, ids in self.items], np.int64)
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         for m in self.sizes:
             same = [k for k, (_, ids) in enumerate(self.items) if len(ids) == m]
@@ -138,34 +142,36 @@ class ItemIndex:
                     tables[t].setdefault(value, []).append(k)
             self.tables[m] = tables
 
+    @staticmethod
+    def least_seeds(m: int) -> int:
+        """Places of a text with one of the item's runs that an occurrence must have; the item may repeat runs."""
+        q, edits = seed_width(m), int(RATIO * m)
+        return max(1, m - q + 1 - q * edits)
+
     def starts(self, ids: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item size the windows with enough seeds."""
-        hits, out = {}, {}
-        for q, (found, marks) in self.seeds.items():
-            grams = windowed_hash(ids, q)
-            hit = marks[(grams >> np.uint64(42)).astype(np.int64)]
-            at = np.flatnonzero(hit)
-            if len(at):
-                place = np.minimum(np.searchsorted(found, grams[at]), len(found) - 1)
-                at = at[found[place] == grams[at]]
-            if len(at):
-                hits[q] = at
-        for m in self.sizes:
-            q, edits = seed_width(m), int(RATIO * m)
-            if q not in hits:
+        """For each item size the windows where some item of this size has enough seeds."""
+        out: dict[int, list[np.ndarray]] = {}
+        for q, (grams, holders, marks) in self.seeds.items():
+            here = windowed_hash(ids, q)
+            at = np.flatnonzero(marks[(here >> np.uint64(42)).astype(np.int64)])
+            if not len(at):
                 continue
-            needed, reach, at = max(1, m - q + 1 - q * edits), m + edits, hits[q]
-            if len(at) < needed:
+            low, high = np.searchsorted(grams, here[at]), np.searchsorted(grams, here[at], "right")
+            n = high - low
+            if not n.any():
                 continue
-            # A stretch of ``reach`` words with ``needed`` seeds begins at or before each such group of seeds.
-            span = at[needed - 1 :] - at[: len(at) - needed + 1]
-            groups = np.flatnonzero(span <= reach - q)
-            if len(groups):
-                begins = np.unique(np.concatenate([
-                    np.arange(max(0, last - reach + q), first + 1) for first, last in zip(at[groups], at[groups + needed - 1])
-                ]))
-                out[m] = begins[begins <= max(0, len(ids) - m + edits)]
-        return out
+            place = np.repeat(at, n)
+            item = holders[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            order = np.lexsort((place, item))
+            place, item = place[order], item[order]
+            last = np.arange(len(item)) + self.needed[item] - 1
+            inside = last < len(item)
+            last = np.minimum(last, len(item) - 1)
+            enough = inside & (item[last] == item) & (place[last] - place <= self.reach[item] - q)
+            for k in np.flatnonzero(enough).tolist():
+                m, reach = len(self.items[item[k]][1]), int(self.reach[item[k]])
+                out.setdefault(m, []).append(np.arange(max(0, int(place[last[k]]) - reach + q), int(place[k]) + 1))
+        return {m: np.unique(np.concatenate(own)) for m, own in out.items()}
 
     def occurrences(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, begin, end, distance) of the nearest stretch of each item that occurs."""
