@@ -15,6 +15,7 @@ from folioscope.llm.neighbours import nearest_neighbours
 from folioscope.llm.packing import packed_documents
 from folioscope.llm.sharding import shard_by_ring, sized
 from folioscope.llm.similarity_join import jaccard_join
+from folioscope.llm.substrings import dedup_substrings
 from folioscope.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+@register("op5_substring_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_substrings(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register("op7_html_extraction")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = main_texts(table(spark, folder, "pages"))
