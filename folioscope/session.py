@@ -1,7 +1,6 @@
 """Session set-up and the two scale guards every operator shares.
 
-* ``measured_broadcast`` is the only place where a broadcast is asked for: it happens behind a row and byte check,
-  and a side that is too big goes through an ordinary shuffle join (adaptive execution splits skewed partitions).
+* ``measured_broadcast`` broadcasts behind a row and byte check; a side that is too big goes through an ordinary shuffle join (adaptive execution splits skewed partitions).
 * ``materialised`` cuts lineage with a table in the shared folder named by ``spark.checkpoint.dir``.
 """
 
