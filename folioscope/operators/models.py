@@ -63,11 +63,15 @@ def with_class_name(df: DataFrame, index: str, classes: list[str], out_col: str)
 
 
 def balanced(df: DataFrame, label: str, weight_col: str = "weight") -> tuple[DataFrame, float]:
-    """Add n / (k * n_class), from the counts of *these* rows, and return the sum of the weights, which is n."""
+    """Add n / (k * n_class), from the counts of *these* rows, and return the sum of the weights, which is n.
+
+    Rows without a label take no part.
+    """
+    df = df.where(F.col(label).isNotNull())
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     n = sum(counts.values())
     weights = itertools.chain.from_iterable(
-        (F.lit(c), F.lit(n / (len(counts) * m))) for c, m in counts.items() if c is not None
+        (F.lit(c), F.lit(n / (len(counts) * m))) for c, m in counts.items()
     )
     return df.withColumn(weight_col, F.try_element_at(F.create_map(*weights), F.col(label))), float(n)
 

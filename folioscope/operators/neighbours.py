@@ -35,7 +35,7 @@ def nearest_labels(
     points = df.select(
         F.col(key).alias("id"), F.col(label).alias("label"), F.col(x).cast("double").alias("_x"),
         F.col(y).cast("double").alias("_y"),
-    ).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    ).where(finite("_x") & finite("_y"))
     low_x, high_x, low_y, high_y = points.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
     if low_x is None:
         return points.select("_x", "_y", F.array(F.struct(F.lit(0.0).alias("d2"), "id", "label")).alias("neighbours"))
@@ -164,6 +164,11 @@ def nearest_labels(
     )
 
 
+def finite(column: str):
+    """True for a number, false for null, NaN and the infinities (NaN compares above all numbers)."""
+    return F.coalesce(F.abs(F.col(column)) < F.lit(math.inf), F.lit(False))
+
+
 def majority(labels):
     """Most frequent element of an array; ties go to the smallest."""
     tallies = F.transform(
@@ -176,10 +181,14 @@ def majority(labels):
 def neighbour_outliers(
     df: DataFrame, key: str, label: str, x: str, y: str, k: int = 10, leaf: int = LEAF, depth: int = DEPTH
 ) -> DataFrame:
-    """Add ``parti_geographique`` (label of the neighbourhood) and ``is_outlier_knn`` (it differs from its own)."""
+    """Add ``parti_geographique`` (label of the neighbourhood) and ``is_outlier_knn`` (it differs from its own).
+
+    A point without two finite coordinates has no neighbourhood: null and false.
+    """
     voted = nearest_labels(df, key, label, x, y, k, leaf, depth).select(
         "_x", "_y", majority(F.transform("neighbours", lambda p: p["label"])).alias("parti_geographique")
     )
     placed = df.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
-    out = placed.join(voted, ["_x", "_y"], "left").drop("_x", "_y")
-    return out.withColumn("is_outlier_knn", ~F.col(label).eqNullSafe(F.col("parti_geographique")))
+    out = placed.join(voted, ["_x", "_y"], "left")
+    differs = finite("_x") & finite("_y") & ~F.col(label).eqNullSafe(F.col("parti_geographique"))
+    return out.withColumn("is_outlier_knn", differs).drop("_x", "_y")

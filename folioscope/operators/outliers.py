@@ -139,17 +139,20 @@ def contributions(entries: Column, coefs: Column, terms: Column) -> Column:
 def explain(df: DataFrame, key: str, target: str, vector_col: str, rows: DataFrame, ends: int | None = None) -> DataFrame:
     """``(key, class, rank, mot, tfidf_val, poids_coeff, contribution)`` for the class named in ``target``.
 
-    ``ends`` keeps the strongest words for and against. All documents at once, or one after a filter on the key.
+    ``ends`` keeps the strongest words for and against. All documents at once, or one after a filter on the key. A
+    document whose class the model does not know keeps one row, without a word.
     """
     named = rows.withColumnRenamed("class", "_class")
-    joined = df.join(named, F.col(target) == F.col("_class")).withColumn("_entries", vector_entries(vector_col))
-    listed = joined.select(
-        key, F.col("_class").alias("class"), contributions(F.col("_entries"), F.col("coefs"), F.col("terms")).alias("_words")
+    joined = df.join(named, F.col(target) == F.col("_class"), "left").withColumn("_entries", vector_entries(vector_col))
+    known = F.col("_class").isNotNull()
+    words = F.when(known, contributions(F.col("_entries"), F.col("coefs"), F.col("terms")))
+    listed = joined.select(key, F.col(target).alias("class"), known.alias("_known"), words.alias("_words"))
+    long = listed.select(
+        key, "class", "_known", F.size("_words").alias("_n"), F.posexplode_outer("_words").alias("_pos", "_w")
     )
-    long = listed.select(key, "class", F.size("_words").alias("_n"), F.posexplode_outer("_words").alias("_pos", "_w"))
-    long = long.where(F.col("_w").isNotNull())
+    long = long.where(~F.col("_known") | F.col("_w").isNotNull())
     if ends is not None:
-        long = long.where((F.col("_pos") < ends) | (F.col("_pos") >= F.col("_n") - ends))
+        long = long.where(~F.col("_known") | (F.col("_pos") < ends) | (F.col("_pos") >= F.col("_n") - ends))
     return long.select(
         key, "class", (F.col("_pos") + 1).alias("rank"), "_w.mot", "_w.tfidf_val", "_w.poids_coeff", "_w.contribution"
     )
@@ -166,8 +169,9 @@ def dossier(
 ) -> DataFrame:
     """One line per outlier: true class and its probability, prediction, challenger, anchor and defector words, status.
 
-    The challenger is the second class if the model is right and the first if it is wrong. ``max_rows`` keeps the
-    first documents by key, as a display limit.
+    The challenger is the second class if the model is right and the first if it is wrong. A class that the model does
+    not know has no anchor words, a model of one class no challenger; the document keeps its line. ``max_rows`` keeps
+    the first documents by key, as a display limit.
     """
     if max_rows is not None:
         df = df.orderBy(key).limit(max_rows)
@@ -178,15 +182,23 @@ def dossier(
         "_challenger", F.when(F.col("_predicted") == F.col(label), second).otherwise(first)
     )
     own = rows.select(F.col("class").alias("_own"), F.col("coefs").alias("_own_coefs"), F.col("terms").alias("_terms"))
-    other = rows.select(F.col("class").alias("_other"), F.col("coefs").alias("_other_coefs"))
-    joined = ranked.join(own, F.col(label) == F.col("_own")).join(other, F.col("_challenger.class") == F.col("_other"))
+    other = rows.select(
+        F.col("class").alias("_other"), F.col("coefs").alias("_other_coefs"), F.col("terms").alias("_other_terms")
+    )
+    joined = ranked.join(own, F.col(label) == F.col("_own"), "left").join(
+        other, F.col("_challenger.class") == F.col("_other"), "left"
+    )
     anchors = contributions(F.col("_entries"), F.col("_own_coefs"), F.col("_terms"))
-    defectors = contributions(F.col("_entries"), F.col("_other_coefs"), F.col("_terms"))
+    defectors = contributions(F.col("_entries"), F.col("_other_coefs"), F.col("_other_terms"))
+
+    def shown(name, p):
+        return F.when(p.isNull(), name).otherwise(with_percent(name, p))
+
     return joined.select(
         F.col(key).alias("ID"),
-        with_percent(F.col(label), F.try_element_at(F.col(proba), F.col(label))).alias("Vrai Parti"),
+        shown(F.col(label), F.try_element_at(F.col(proba), F.col(label))).alias("Vrai Parti"),
         F.col("_predicted").alias("Prédit"),
-        with_percent(F.col("_challenger.class"), F.col("_challenger.p")).alias("Challenger (2nd)"),
+        shown(F.col("_challenger.class"), F.col("_challenger.p")).alias("Challenger (2nd)"),
         F.array_join(top_words(anchors, top_n), ", ").alias("Mots Ancres (Confirmant)"),
         F.array_join(top_words(defectors, top_n), ", ").alias("Mots Transfuges (Vers Challenger)"),
         status_text(F.col(label), F.col("_predicted")).alias("Statut"),
@@ -212,3 +224,8 @@ def side_by_side(top: DataFrame, classes: list[str]) -> DataFrame:
     for c in classes:
         renamed += [F.col(f"`{c}_mot`").alias(f"{c} - mot"), F.col(f"`{c}_coef`").alias(f"{c} - coef")]
     return wide.select(renamed)
+
+
+def side_by_side_blocks(top: DataFrame, classes: list[str], n_cols: int = 3) -> list[DataFrame]:
+    """All classes, ``n_cols`` of them to a table."""
+    return [side_by_side(top, classes[i : i + n_cols]) for i in range(0, len(classes), n_cols)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from folioscope.operators import distance as D
 from folioscope.operators import metrics as M
 from folioscope.operators import outliers as O
 from folioscope.operators.models import melt_coefficients, with_probability_columns
+from folioscope.operators.neighbours import neighbour_outliers
 from folioscope.plans import sql as Q
 from folioscope.plans.catalog_geometry import FLAGGED, MODEL, centroid_model
 from folioscope.plans.catalog_text import MAX_FEATURES
@@ -27,12 +30,12 @@ def pairs(t: Tables) -> DataFrame:
 
 @register(
     "a15_confusion_matrix",
-    """WITH k AS (SELECT unnest(['0', '1']) AS c)
+    """WITH k AS (SELECT quality::VARCHAR AS c FROM labels UNION SELECT toxic::VARCHAR FROM labels)
     SELECT a.c AS y_true, b.c AS y_pred, (SELECT count(*) FROM labels WHERE quality::VARCHAR = a.c AND toxic::VARCHAR = b.c) AS n
     FROM k a CROSS JOIN k b""",
 )
 def _(t: Tables) -> DataFrame:
-    return M.confusion_matrix(M.confusion_counts(pairs(t), "quality", "toxic"), ["0", "1"])
+    return M.confusion_matrix(M.confusion_counts(pairs(t), "quality", "toxic"))
 
 
 REPORT_SQL = """k AS (SELECT y AS label FROM pr UNION SELECT p FROM pr),
@@ -165,15 +168,20 @@ def outlier_report(t: Tables) -> DataFrame:
 
 
 SUMMARY_SQL = "WITH " + Q.class_model(MAX_FEATURES) + FLAGGED.split("dist AS", 1)[1].split("GROUP BY doc_id)", 1)[1] + f""",
-xy AS (SELECT doc_id AS id, lang, max(CASE WHEN class = 'en' THEN p END) AS x, max(CASE WHEN class = 'fr' THEN p END) AS y
-       FROM prob GROUP BY doc_id, lang),
-flags AS (SELECT top.doc_id, top.lang, c1, far, p_true < {CONFIDENCE} AS low, p1 - p2 < {GAP} AS h2, p1 - p3 < {GAP} AS h3
-          FROM top JOIN flagged USING (doc_id)),
+xy AS (SELECT doc_id AS id, lang, round(max(CASE WHEN class = 'en' THEN p END), 6) AS x,
+       round(max(CASE WHEN class = 'fr' THEN p END), 6) AS y FROM prob GROUP BY doc_id, lang),
+near AS (SELECT a.id, a.lang, b.lang AS other, row_number() OVER (PARTITION BY a.id
+         ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.id) AS r FROM xy a CROSS JOIN xy b),
+vote AS (SELECT id, lang, other, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, other) AS place
+         FROM near WHERE r <= 10 GROUP BY id, lang, other),
+geo AS (SELECT id AS doc_id, other <> lang AS odd FROM vote WHERE place = 1),
+flags AS (SELECT top.doc_id, top.lang, c1, far, p_true < {CONFIDENCE} AS low, p1 - p2 < {GAP} AS h2, p1 - p3 < {GAP} AS h3, odd
+          FROM top JOIN flagged USING (doc_id) JOIN geo USING (doc_id)),
 long AS (SELECT 'Centroid (Global)' AS m, far AS f, c1 <> lang AS bad FROM flags
   UNION ALL SELECT 'Probas (Confiance)', low, c1 <> lang FROM flags
   UNION ALL SELECT 'Hésitation (2 partis)', h2, c1 <> lang FROM flags
   UNION ALL SELECT 'Hésitation (3 partis)', h3, c1 <> lang FROM flags
-  UNION ALL SELECT 'KNN (Local)', false, c1 <> lang FROM flags)
+  UNION ALL SELECT 'KNN (Local)', odd, c1 <> lang FROM flags)
 SELECT m AS "Méthode", count(*) FILTER (f) AS "Nb Outliers",
   round(coalesce(100 * count(*) FILTER (f AND bad) / nullif(count(*) FILTER (f), 0)::DOUBLE, 0), 2) AS "% Mal Classés"
 FROM long GROUP BY m"""
@@ -185,8 +193,9 @@ def method_summary(t: Tables) -> DataFrame:
     # One stored table of scores feeds every method.
     flagged = O.low_confidence(O.hesitation(materialised(m.scored(), "scored"), "proba", GAP), "lang", "proba", CONFIDENCE)
     flagged = D.centroid_outliers(flagged, "lang", "features", m.size)
-    methods = {**O.METHODS, "KNN (Local)": None}
-    return O.method_summary(flagged, "lang", "predicted_label", methods)
+    plane = {"x": F.round(F.element_at("proba", F.lit("en")), 6), "y": F.round(F.element_at("proba", F.lit("fr")), 6)}
+    flagged = neighbour_outliers(flagged.withColumns(plane), "doc_id", "lang", "x", "y", k=10)
+    return O.method_summary(flagged, "lang", "predicted_label")
 
 
 # -- coefficients and explanations ------------------------------------------------------------------------------------
@@ -218,12 +227,13 @@ def _(t: Tables) -> DataFrame:
     "p7_side_by_side",
     f"{MODEL}, {TOP_SQL} SELECT rank, " + ", ".join(
         f"max(CASE WHEN class = '{c}' THEN feature END) AS \"{c} - mot\", max(CASE WHEN class = '{c}' THEN round(coef, 6) END) AS \"{c} - coef\""
-        for c in ("de", "en", "es")) + " FROM tw WHERE rank <= 10 GROUP BY rank",
+        for c in ("de", "en", "es", "fr")) + " FROM tw WHERE rank <= 10 GROUP BY rank",
 )
 def _(t: Tables) -> DataFrame:
-    top = O.top_coefficients(centroid_model(t).coefficient_table(), 10)
-    wide = O.side_by_side(top.withColumns({"rank": F.col("rank").cast("long"), "coef": F.round("coef", 6)}), ["de", "en", "es"])
-    return wide
+    m = centroid_model(t)
+    top = O.top_coefficients(m.coefficient_table(), 10)
+    blocks = O.side_by_side_blocks(top.withColumns({"rank": F.col("rank").cast("long"), "coef": F.round("coef", 6)}), m.classes)
+    return functools.reduce(lambda left, right: left.join(right, "rank", "full"), blocks)
 
 
 EXPLAIN_SQL = """ex AS (SELECT w.doc_id, lang AS class, term AS mot, w.w AS tfidf_val, coef AS poids_coeff, w.w * coef AS contribution,

@@ -145,3 +145,14 @@ def test_sparse_and_dense_vectors_give_the_same_entries(spark):
     frame = spark.createDataFrame([(1, Vectors.sparse(3, {1: 2.0})), (2, Vectors.dense([0.0, 2.0, 1.0]))], ["id", "v"])
     rows = {(r.id, r.idx): r.w for r in postings(frame, "v", ["id"]).where(F.col("w") != 0).collect()}
     assert rows == {(1, 1): 2.0, (2, 1): 2.0, (2, 2): 1.0}
+
+
+def test_a_point_without_finite_coordinates_is_no_outlier(spark):
+    from folioscope.operators.neighbours import neighbour_outliers
+
+    odd = [(90, "b", None, 0.0), (91, "b", float("nan"), 0.0), (92, "b", float("inf"), 1.0)]
+    rows = [(i, "a", float(i % 4), float(i % 3)) for i in range(20)] + [(20, "b", 1.0, 1.0), *odd]
+    frame = spark.createDataFrame(rows, "id int, label string, x double, y double")
+    found = {r.id: r for r in neighbour_outliers(frame, "id", "label", "x", "y", k=5).collect()}
+    assert len(found) == 24 and found[20].is_outlier_knn and not found[0].is_outlier_knn
+    assert all(found[i].is_outlier_knn is False and found[i].parti_geographique is None for i in (90, 91, 92))

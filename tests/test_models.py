@@ -197,3 +197,53 @@ def test_summary_of_methods_without_outliers(spark):
     assert out == {"x": (2, 50.0), "y": (0, 0.0)}
     report = O.outlier_report(frame.where("far"), "label", "p").first()
     assert tuple(report) == ("a", 2, 1, 50.0)
+
+
+def test_no_pair_is_lost_from_the_confusion_matrix(spark):
+    frame = spark.createDataFrame([("0", "0"), ("0", "2"), ("2", "1"), (None, "0")], "y string, p string")
+    cells = E.confusion_matrix(E.confusion_counts(frame, "y", "p"), ["0", "1"]).collect()
+    found = {(r.y_true, r.y_pred): r.n for r in cells}
+    assert len(cells) == len(found) == 10 and sum(found.values()) == 4
+    assert found["0", "2"] == found["2", "1"] == found[None, "0"] == 1 and found["1", "1"] == 0
+    assert E.confusion_matrix(E.confusion_counts(frame.limit(0), "y", "p")).collect() == []
+
+
+def test_rows_without_a_label_have_no_weight(spark):
+    from folioscope.operators.models import balanced
+
+    frame = spark.createDataFrame([("a",), ("a",), ("a",), ("b",), (None,), (None,)], "label string")
+    rows, total = balanced(frame, "label")
+    weights = [r.weight for r in rows.collect()]
+    assert total == 4 and len(weights) == 4 and sum(weights) == pytest.approx(4)
+
+
+def test_documents_of_an_unknown_class_are_kept(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    from folioscope.operators import outliers as O
+
+    rows = spark.createDataFrame(
+        [("a", [1.0, -1.0], ["x", "y"]), ("b", [-1.0, 1.0], ["x", "y"])], "class string, coefs array<double>, terms array<string>"
+    )
+    v = Vectors.dense([1.0, 0.5])
+    docs = spark.createDataFrame(
+        [(1, "a", {"a": 0.2, "b": 0.8}, v), (2, "new", {"a": 0.7, "b": 0.3}, v), (3, "a", {"a": 1.0}, v)],
+        spark.createDataFrame([], "id int, label string, proba map<string,double>").schema.add(
+            "features", VectorUDT()
+        ),
+    )
+    found = {r.ID: r for r in O.dossier(docs, "id", "label", "proba", "features", rows).collect()}
+    assert set(found) == {1, 2, 3} and found[1]["Vrai Parti"] == "a (20.0%)"
+    assert found[2]["Vrai Parti"] == "new" and found[2]["Mots Ancres (Confirmant)"] == ""
+    assert found[2]["Mots Transfuges (Vers Challenger)"] == "x" and found[3]["Challenger (2nd)"] is None
+    words = O.explain(docs, "id", "label", "features", rows, 1).collect()
+    assert [(r["class"], r.mot) for r in words if r.id == 2] == [("new", None)]
+    assert {r.mot for r in words if r.id == 1} == {"x", "y"}
+
+
+def test_side_by_side_shows_every_class(spark):
+    from folioscope.operators import outliers as O
+
+    top = spark.createDataFrame([(c, 1, c + "w", 1.0) for c in "abcde"], "class string, rank int, feature string, coef double")
+    blocks = O.side_by_side_blocks(top, list("abcde"))
+    assert [len(b.columns) for b in blocks] == [7, 5] and blocks[1].first()["e - mot"] == "ew"
