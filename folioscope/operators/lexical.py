@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import lexical_tokens, ratio, sentence_count
 from folioscope.operators.arrays import unnest, with_term_counts
-from folioscope.session import MAX_BROADCAST_ROWS, measured_broadcast
+from folioscope.session import MAX_BROADCAST_ROWS, fits_broadcast, materialised, measured_broadcast
 
 METRICS = ["nb_words", "nb_sentences", "words_per_sentence", "vocab_size_doc", "ttr", "hapax_ratio"]
 
+#: A word is hot if it is in at least one document for every ``HOT`` that hold the most frequent word.
+HOT = 1000
+
 
 def lexical_metrics(df: DataFrame, text_col: str, keep_tokens: bool = False) -> DataFrame:
     """Add the six document measures. One narrow pass: the counts are made inside each row."""
@@ -84,26 +87,28 @@ def class_terms(df: DataFrame, label: str, tokens_col: str, k: int) -> DataFrame
 
 
 def keep_vocabulary(
-    df: DataFrame, id_col: str, tokens_col: str, vocabulary: DataFrame, out_col: str, hot_words: int = MAX_BROADCAST_ROWS
+    df: DataFrame, id_col: str, tokens_col: str, vocabulary: DataFrame, out_col: str, max_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """``(id, out_col)``: each document's tokens that are in ``vocabulary (term, n_docs)``; order and repeats kept.
 
-    A vocabulary that passes the size check is broadcast and only the regrouping by document shuffles. A larger one
-    is cut in two: its ``hot_words`` most used words, nearly all of the tokens, are broadcast, and only the tokens
-    they leave open are joined by word, where no word is frequent. Documents that lose every word stay, empty.
+    The vocabulary is written once. If it passes the size check it is broadcast and only the regrouping by document
+    shuffles. A larger one is cut in two by the share of documents: words at least ``1 / HOT`` as frequent as the most
+    frequent one, nearly all of the tokens, go through the size check on their own, and only the tokens they leave
+    open are joined by word, where no word is frequent. Documents that lose every word stay, empty.
     """
     placed = F.transform(tokens_col, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     long = df.select(id_col, F.explode_outer(placed).alias("w")).select(id_col, "w.term", "w.pos")
-    top = vocabulary.orderBy(F.desc("n_docs"), "term").limit(hot_words + 1).select("term").toArrow()
-    hot = df.sparkSession.createDataFrame(top.slice(0, hot_words), schema="term string")
-    marked = long.join(F.broadcast(hot.withColumn("_known", F.lit(True))), "term", "left")
-    if top.num_rows > hot_words:
+    words = materialised(vocabulary.select("term", "n_docs"), "vocabulary")
+    known = F.lit(True).alias("_known")
+    if fits_broadcast(words, max_rows):
+        marked = long.join(F.broadcast(words.select("term", known)), "term", "left")
+    else:
+        most = words.agg(F.max("n_docs")).first()[0]
+        hot = F.col("n_docs") * HOT >= most
+        marked = long.join(measured_broadcast(words.where(hot).select("term", known), max_rows), "term", "left")
         open_tokens = F.col("_known").isNull() & F.col("pos").isNotNull()
-        rest = vocabulary.select("term").withColumn("_rest", F.lit(True))
-        tail = marked.where(open_tokens).join(rest, "term", "left").select(
-            "term", id_col, "pos", F.col("_rest").alias("_known")
-        )
-        marked = marked.where(~open_tokens).select("term", id_col, "pos", "_known").unionByName(tail)
+        tail = marked.where(open_tokens).drop("_known").join(words.where(~hot).select("term", known), "term", "left")
+        marked = marked.where(~open_tokens).unionByName(tail)
     pieces = F.collect_list(F.when(F.col("_known"), F.struct("pos", "term")))
     return marked.groupBy(id_col).agg(F.sort_array(pieces).alias("_kept")).select(
         id_col, F.col("_kept.term").alias(out_col)

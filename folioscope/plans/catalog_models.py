@@ -1,4 +1,4 @@
-"""Queries that train: no SQL can do the same, so they carry none. Unit tests check them in other ways."""
+"""Queries that train. SQL can only say which vocabulary they learn; unit tests check the rest in other ways."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from folioscope.operators import models as M
 from folioscope.operators.embed import embed_texts
 from folioscope.operators.metrics import accuracy, classification_report
 from folioscope.operators.vectorize import TfidfVectorizer
-from folioscope.plans.catalog_text import MAX_FEATURES, tokens
+from folioscope.plans.catalog_text import FEATURE_NAMES_SQL, MAX_FEATURES, tokens
 from folioscope.plans.outlier_study import flagged_table, master_table
 from folioscope.plans.registry import Tables, register
 from folioscope.session import class_list, materialised
@@ -51,7 +51,7 @@ def grid_search(t: Tables) -> DataFrame:
 def out_of_fold(t: Tables) -> DataFrame:
     data, classes = vectors(t)
     folded = M.with_folds(data, "vec_id", "name", 5).persist()
-    out = M.out_of_fold(folded, 5, lambda part: M.fit_logistic(part, C=1.0, max_iter=50))
+    out = M.out_of_fold(folded, 5, lambda part: M.fit_logistic(part, C=1.0))
     return M.with_class_name(out, "prediction", classes, "predicted_label").select("vec_id", "name", "fold", "predicted_label")
 
 
@@ -60,7 +60,7 @@ def logistic_job(t: Tables) -> DataFrame:
     return M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens", cv_folds=5, grid=ONE_POINT).report
 
 
-@register("m7_model_assets")
+@register("m7_model_assets", FEATURE_NAMES_SQL)
 def _(t: Tables) -> DataFrame:
     docs, model = fitted(t)
     return M.model_assets(docs, model)["feature_names"]
@@ -100,15 +100,15 @@ def outlier_study(t: Tables) -> DataFrame:
     return flagged_table(table, "doc_id", "lang", len(model.vocabulary)).select("doc_id", "lang", "predicted_label", *flags)
 
 
-SMALL_FOREST = {"n_estimators": 20, "max_depth": 10, "min_samples_leaf": 1, "max_features": "sqrt"}
+DEFAULT_FOREST = {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1, "max_features": "sqrt"}
 
 
 @register("m11_random_forest")
 def random_forest(t: Tables) -> DataFrame:
     data, classes = vectors(t)
-    folded = M.with_folds(data, "vec_id", "name", 3).persist()
-    best, _ = M.grid_search(folded, 3, [SMALL_FOREST], M.fit_forest)
-    out = M.out_of_fold(folded, 3, lambda part: M.fit_forest(part, **best))
+    folded = M.with_folds(data, "vec_id", "name", 5).persist()
+    best, _ = M.grid_search(folded, 5, [DEFAULT_FOREST], M.fit_forest)
+    out = M.out_of_fold(folded, 5, lambda part: M.fit_forest(part, **best))
     return classification_report(M.with_class_name(out, "prediction", classes, "predicted"), "name", "predicted")
 
 
@@ -116,7 +116,7 @@ def random_forest(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     docs = M.with_label_index(tokens(t), "lang", class_list(t.documents, "lang"))
     ready = materialised(TfidfVectorizer(maxFeatures=MAX_FEATURES).fit(docs).transform(docs).drop("tokens"), "vectors")
-    out = M.fit_linear_svm(ready, C=1.0, max_iter=30).transform(ready)
+    out = M.fit_linear_svm(ready, C=1.0).transform(ready)
     return out.select("doc_id", "lang", "prediction")
 
 
@@ -124,8 +124,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     data, classes = vectors(t)
     gamma = M.rbf_gamma(data, "embedding", "scale")
-    mapped = M.with_rbf_features(data, "embedding", gamma, 64).drop("features").withColumnRenamed("rbf", "features").persist()
-    out = M.fit_linear_svm(mapped, C=1.0, max_iter=10).transform(mapped)
+    mapped = M.with_rbf_features(data, "embedding", gamma).drop("features").withColumnRenamed("rbf", "features").persist()
+    out = M.fit_linear_svm(mapped, C=1.0).transform(mapped)
     return M.with_class_name(out, "prediction", classes, "predicted").select("vec_id", "name", "predicted")
 
 
@@ -142,7 +142,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     data, _ = vectors(t)
     train, test = data.randomSplit([0.8, 0.2], seed=42)
-    out = M.fit_forest(train, weighted=False, n_estimators=20, max_depth=10).transform(test)
+    out = M.fit_forest(train, weighted=False).transform(test)
     return accuracy(out, "label_index", "prediction")
 
 
@@ -176,6 +176,6 @@ def _(t: Tables) -> DataFrame:
     embedded = embed_texts(t.texts.select("doc_id", "lang", "text"), "text", hashing_encoder()).drop("text")
     ready = embedded.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
     ready = materialised(M.with_label_index(ready, "lang", classes).drop("embedding"), "embedded")
-    model = M.fit_forest(ready, n_estimators=20, max_depth=8)
+    model = M.fit_forest(ready)
     scored = model.transform(ready).withColumn("p", vector_to_array("probability"))
     return scored.select("doc_id", "lang", *[F.get("p", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(classes)])

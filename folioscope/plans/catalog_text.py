@@ -109,7 +109,14 @@ def _(t: Tables) -> DataFrame:
     return t.texts.select("doc_id", X.remove_symbols("text").alias("text"))
 
 
-@register("l8_isolated_numbers")
+BORDERED = rf"(\A|[^{X.WORD_CHARS}])\p{{Nd}}{{1,2}}(\z|[^{X.WORD_CHARS}])"
+
+
+# The border after a number may be the border before the next one, so the pattern is applied twice.
+@register(
+    "l8_isolated_numbers",
+    rf"SELECT doc_id, regexp_replace(regexp_replace(text, '{BORDERED}', '\1\2', 'g'), '{BORDERED}', '\1\2', 'g') AS text FROM documents",
+)
 def _(t: Tables) -> DataFrame:
     return t.texts.select("doc_id", X.remove_isolated_numbers("text").alias("text"))
 
@@ -295,10 +302,12 @@ def tfidf_postings(t: Tables) -> DataFrame:
     return long.join(names, "idx").select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
-@register(
-    "v5_feature_names",
-    f"WITH {Q.tfidf(MAX_FEATURES)} SELECT (row_number() OVER (ORDER BY total DESC, term) - 1)::INTEGER AS idx, term FROM vocab",
+FEATURE_NAMES_SQL = (
+    f"WITH {Q.tfidf(MAX_FEATURES)} SELECT (row_number() OVER (ORDER BY total DESC, term) - 1)::INTEGER AS idx, term FROM vocab"
 )
+
+
+@register("v5_feature_names", FEATURE_NAMES_SQL)
 def _(t: Tables) -> DataFrame:
     docs = tokens(t)
     return V.feature_names(docs, V.TfidfVectorizer(maxFeatures=MAX_FEATURES).fit(docs))

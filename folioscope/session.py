@@ -1,15 +1,18 @@
 """Session set-up and the two scale guards every operator shares.
 
-* ``measured_broadcast`` broadcasts behind a row and byte check; a side that is too big goes through an ordinary shuffle join (adaptive execution splits skewed partitions).
+* ``measured_broadcast`` writes a side once and broadcasts it behind a check of its exact rows and bytes; a side that is
+  too big goes through an ordinary shuffle join (adaptive execution splits skewed partitions).
 * ``materialised`` cuts lineage with a table in the shared folder named by ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -61,16 +64,36 @@ def materialised(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of ``df`` takes."""
+    parts = [F.lit(8)]
+    for field in df.schema.fields:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            part = F.octet_length(column)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            part = 8 * F.greatest(F.size(column), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            part = F.octet_length(F.to_json(F.struct(column)))
+        else:
+            part = F.lit(8)
+        parts.append(F.coalesce(part, F.lit(0)))
+    return reduce(lambda x, y: x + y, parts).cast("long")
+
+
+def fits_broadcast(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether a written table stays within the bounds of rows and bytes. One aggregate, added up by the tasks."""
+    rows, size = table.agg(F.count("*"), F.sum(row_bytes(table))).first()
+    return rows <= max_rows and (size or 0) <= MAX_BROADCAST_BYTES
+
+
 def measured_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it really is small, else return it unchanged.
+    """``df``, written once as a table, and marked for broadcast if its exact rows and bytes are within the bounds.
 
-    At most ``max_rows + 1`` rows are fetched. A small table comes back as a local relation, so it is computed once
-    and the big side of the join is never shuffled. A larger one stays a distributed DataFrame.
+    No row passes through the driver and nothing is computed twice. A larger table joins by shuffle.
     """
-    local = df.limit(max_rows + 1).toArrow()
-    if local.num_rows > max_rows or local.nbytes > MAX_BROADCAST_BYTES:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(local, schema=df.schema))
+    table = materialised(df, "side")
+    return F.broadcast(table) if fits_broadcast(table, max_rows) else table
 
 
 def class_list(df: DataFrame, label_col: str) -> list[str]:
