@@ -16,6 +16,7 @@ from folioscope.llm.packing import packed_documents
 from folioscope.llm.sharding import shard_by_ring, sized
 from folioscope.llm.similarity_join import jaccard_join
 from folioscope.llm.substrings import dedup_substrings
+from folioscope.llm.token_alignment import align_tokenizers
 from folioscope.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@register("op11_tokenizer_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokenizers(
+        table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    )
