@@ -15,6 +15,7 @@ from folioscope.llm.neighbours import nearest_neighbours
 from folioscope.llm.packing import packed_documents
 from folioscope.llm.sharding import shard_by_ring, sized
 from folioscope.llm.similarity_join import jaccard_join
+from folioscope.llm.simhash import near_duplicates
 from folioscope.llm.substrings import dedup_substrings
 from folioscope.llm.token_alignment import align_tokenizers
 from folioscope.llm.toxicity import score_toxicity
@@ -114,3 +115,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return align_tokenizers(
         table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
     )
+
+
+@register("op13_simhash")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
