@@ -13,6 +13,7 @@ from folioscope.llm.language_id import identify_languages
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.neighbours import nearest_neighbours
 from folioscope.llm.packing import packed_documents
+from folioscope.llm.prefix_trie import prefix_trie
 from folioscope.llm.sharding import shard_by_ring, sized
 from folioscope.llm.similarity_join import jaccard_join
 from folioscope.llm.simhash import near_duplicates
@@ -117,6 +118,54 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op12_prefix_trie")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+#: The CRC of a decimal number is worked out bit by bit; 3988292384 is its reflected polynomial.
+ORACLES["op12_prefix_trie"] = """
+WITH numbered AS (
+  SELECT conv_id, row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (
+  SELECT conv_id, list(said ORDER BY place) AS turns, CAST(conv_id AS VARCHAR) AS spelt FROM numbered GROUP BY conv_id
+), shared AS (
+  SELECT conv_id, turns, xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(1, len(spelt) + 1), lambda i: ascii(spelt[i])::BIGINT)),
+           lambda crc, byte: list_reduce(
+             list_prepend(xor(crc, byte), range(8)),
+             lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)
+         ), 4294967295::BIGINT) % 6 AS h
+  FROM lists
+), rebuilt AS (
+  SELECT s.conv_id, CASE WHEN f.conv_id IS NULL THEN s.turns[s.h + 1:]
+                         ELSE list_concat(f.turns[1:s.h], s.turns[s.h + 1:]) END AS turns
+  FROM shared s LEFT JOIN lists f ON f.conv_id = s.conv_id - s.conv_id % 100
+), reached AS (
+  SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt
+), nodes AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(turns)) AS longest,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth), ''))
+           AS ends_sha256
+  FROM reached GROUP BY turns[1:depth], depth
+), above AS (
+  SELECT path[1:up] AS path, depth - up AS below, longest = depth AS leaf,
+         CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].text) END AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM nodes)
+), sums AS (
+  SELECT path, count(*) FILTER (below = 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM above GROUP BY path
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""
+
+
 @register("op13_simhash")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
