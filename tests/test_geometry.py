@@ -156,3 +156,32 @@ def test_a_point_without_finite_coordinates_is_no_outlier(spark):
     found = {r.id: r for r in neighbour_outliers(frame, "id", "label", "x", "y", k=5).collect()}
     assert len(found) == 24 and found[20].is_outlier_knn and not found[0].is_outlier_knn
     assert all(found[i].is_outlier_knn is False and found[i].parti_geographique is None for i in (90, 91, 92))
+
+
+@pytest.mark.parametrize("strip", [N.STRIP, 40])
+def test_neighbours_with_far_points_lines_hot_spots_and_odd_numbers(spark, strip):
+    rng = np.random.default_rng(8)
+    spots = [(0.0, 0.0)] * 300 + [(1e15, -1e15), (1e15, 3.0), (-1e200, 0.0)]
+    spots += [(float(v), 5.0) for v in range(150)] + [(7.0, float(v)) for v in range(150)]
+    spots += [(1e-9 * float(a), 1e-9 * float(b)) for a in range(12) for b in range(12)]
+    spots += [tuple(p) for p in rng.normal(size=(200, 2)).tolist()]
+    points = [(int(i), "ab"[i % 2], *spots[j]) for i, j in enumerate(rng.permutation(len(spots)))]
+    odd = [(5000, "a", float("nan"), 0.0), (5001, "a", None, 1.0), (5002, "b", 1.0, float("-inf"))]
+    frame = spark.createDataFrame([*points, *odd], "id int, label string, x double, y double").repartition(3)
+    near = N.nearest_labels(frame, "id", "label", "x", "y", 10, leaf=8, strip=strip)
+    joined = frame.join(near, (frame.x == near["_x"]) & (frame.y == near["_y"]))
+    ours = {r.id: [p.id for p in r.neighbours] for r in joined.collect()}
+    x, y = (np.array([p[c] for p in points]) for c in (2, 3))
+    with np.errstate(over="ignore"):
+        expected = {
+            i: [int(points[j][0]) for j in np.lexsort((np.arange(len(points)), (x - a) ** 2 + (y - b) ** 2))[:10]]
+            for i, _, a, b in points
+        }
+    assert ours == expected
+
+
+def test_neighbours_keep_text_keys_in_order(spark):
+    rows = [(f"k{i % 7}{i}", "a" if i % 3 else None, float(i % 5), 0.0) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id string, label string, x double, y double")
+    near = {r["_x"]: [(p.d2, p.id) for p in r.neighbours] for r in N.nearest_labels(frame, "id", "label", "x", "y", 9).collect()}
+    assert near == {x: sorted(((r[2] - x) ** 2, r[0]) for r in rows)[:9] for x in {r[2] for r in rows}}
