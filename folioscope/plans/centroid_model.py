@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.distance import class_sums, dense_rows
+from folioscope.operators.distance import class_sums, dense_rows, dot
 from folioscope.operators.outliers import coefficient_rows, predicted_class
-from folioscope.operators.vectorize import TfidfVectorizer, postings, term_array, vocabulary_of
-from folioscope.session import MAX_BROADCAST_ROWS, class_list, materialised, measured_broadcast
+from folioscope.operators.vectorize import TfidfVectorizer, postings, term_array, vector_entries, vocabulary_of
+from folioscope.session import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, class_list, materialised, measured_broadcast
 
 
 @dataclass
@@ -49,9 +49,36 @@ class CentroidModel:
     def scored(self) -> DataFrame:
         """Documents with ``features``, the ``proba`` map and ``predicted_label``.
 
-        The vocabulary is capped, so one row per term with the weights of all classes is a bounded table. Each
-        posting meets one such row; sums per document are complete before anything is exchanged.
+        The dense unit vectors of all classes are one row of classes x vocabulary numbers. While that is a small
+        table, it is broadcast and a document's cosines are taken inside its own row, without an exchange.
         """
+        small = len(self.classes) * self.size <= MAX_BROADCAST_BYTES // 8
+        joined = self.with_cosines() if small else self.with_cosines_by_join()
+        powers = F.transform(names_of(self.classes), lambda c: F.exp(F.coalesce(F.try_element_at("_cosines", c), F.lit(0.0))))
+        joined = joined.withColumn("_powers", powers)
+        total = F.aggregate("_powers", F.lit(0.0), lambda a, x: a + x)
+        shares = F.transform("_powers", lambda x: x / F.col("_total"))
+        out = joined.withColumn("_total", total).withColumn("proba", F.map_from_arrays(names_of(self.classes), shares))
+        return out.drop("_powers", "_total", "_cosines").withColumn("predicted_label", predicted_class("proba"))
+
+    def with_cosines(self) -> DataFrame:
+        """Add ``_cosines``, a map from class to the cosine with its centroid, from one broadcast row."""
+        rows = dense_rows(self.sums, self.label, self.size)
+        norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x))
+        rows = rows.withColumn("_norm", norm).withColumn(
+            "values", F.transform("values", lambda x: F.coalesce(F.try_divide(x, F.col("_norm")), F.lit(0.0)))
+        )
+        matrix = rows.agg(F.collect_list(F.struct(F.col(self.label).alias("name"), "values")).alias("_matrix"))
+        matrix = materialised(matrix, "matrix").withColumn("_all", F.lit(1))
+        entries = vector_entries("features")
+        with_matrix = self.documents.withColumn("_all", F.lit(1)).join(F.broadcast(matrix), "_all", "left").drop("_all")
+        cosines = F.transform("_matrix", lambda c: F.struct(c["name"], dot(F.col("_entries"), c["values"])))
+        return with_matrix.withColumn("_entries", entries).withColumn("_cosines", F.map_from_entries(cosines)).drop(
+            "_matrix", "_entries"
+        )
+
+    def with_cosines_by_join(self) -> DataFrame:
+        """The same for a matrix too large for one row: each posting meets the weights of its term."""
         by_class = Window.partitionBy(self.label)
         unit = self.sums.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_class)))
         weights = unit.groupBy("idx").agg(
@@ -59,21 +86,16 @@ class CentroidModel:
         )
         weights = measured_broadcast(weights, min(MAX_BROADCAST_ROWS, 2_000_000 // max(1, len(self.classes))))
         long = postings(self.documents, "features", [self.key]).join(weights, "idx")
-        cosines = long.groupBy(self.key).agg(
-            *[
-                F.sum(F.col("w") * F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0))).alias(f"_c{i}")
-                for i, c in enumerate(self.classes)
-            ]
+        long = long.select(self.key, "w", F.explode("m").alias("name", "u"))
+        cosines = long.groupBy(self.key, "name").agg(F.sum(F.col("w") * F.col("u")).alias("cosine"))
+        maps = cosines.groupBy(self.key).agg(
+            F.map_from_entries(F.collect_list(F.struct("name", "cosine"))).alias("_cosines")
         )
-        joined = self.documents.join(cosines, self.key, "left")
-        powers = [F.exp(F.coalesce(F.col(f"_c{i}"), F.lit(0.0))) for i in range(len(self.classes))]
-        joined = joined.withColumn("_powers", F.array(*powers))
-        total = F.aggregate("_powers", F.lit(0.0), lambda a, x: a + x)
-        shares = F.transform("_powers", lambda x: x / F.col("_total"))
-        names = F.array(*[F.lit(c) for c in self.classes])
-        out = joined.withColumn("_total", total).withColumn("proba", F.map_from_arrays(names, shares))
-        out = out.drop("_powers", "_total", *[f"_c{i}" for i in range(len(self.classes))])
-        return out.withColumn("predicted_label", predicted_class("proba"))
+        return self.documents.join(maps, self.key, "left")
+
+
+def names_of(classes: list[str]) -> Column:
+    return F.array(*[F.lit(c) for c in classes])
 
 
 def fit_centroid_model(docs: DataFrame, key: str, label: str, tokens: str, max_features: int) -> CentroidModel:
