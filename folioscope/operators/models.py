@@ -28,6 +28,7 @@ from pyspark.storagelevel import StorageLevel
 
 from folioscope.operators.lexical import filter_rare_words
 from folioscope.operators.metrics import classification_report, confusion_counts, stratified_folds
+from folioscope.operators.shared_fit import search_text_folds, search_vector_folds
 from folioscope.operators.vectorize import TfidfVectorizer, term_array, vocabulary_of
 from folioscope.session import class_list, materialised
 
@@ -202,7 +203,8 @@ def svm_grid_search(
     df: DataFrame, array_col: str, k: int, grid: dict[str, Sequence] | None = None, label: str = "label_index",
     fold_col: str = "fold", n_components: int = 256, max_iter: int = 100,
 ) -> tuple[dict, float]:
-    """Best point of the SVM grid by mean weighted F1. Every kernel setting makes one feature column for all its C.
+    """Best point of the SVM grid by mean weighted F1. Every kernel setting makes one feature column, and
+    trains the machines of all its C and folds side by side.
 
     ``gamma`` has no part in the linear kernel, so that kernel is searched once. The width of the kernel is taken
     from the features alone, never from labels.
@@ -210,18 +212,22 @@ def svm_grid_search(
     grid = SVM_GRID if grid is None else grid
     settings = [(kernel, gamma) for kernel in grid["kernel"] for gamma in grid["gamma"]]
     settings = list(dict.fromkeys((kernel, None if kernel == "linear" else gamma) for kernel, gamma in settings))
+    df = materialised(df.withColumn("row", F.monotonically_increasing_id()), "kernel_rows")
+    size, classes = df.agg(F.max(F.size(array_col)), F.max(label)).first()
     best, best_score = {}, -1.0
     for kernel, gamma in settings:
         if kernel == "linear":
             data = df.withColumn("features", array_to_vector(F.col(array_col).cast("array<double>")))
         else:
             data = with_rbf_features(df, array_col, rbf_gamma(df, array_col, gamma), n_components, out_col="features")
-        data = materialised(data.select("features", label, fold_col), "kernel")
-        point, score = grid_search(
-            data, k, [{"C": c, "max_iter": max_iter} for c in grid["C"]], fit_linear_svm, label, fold_col
+        data = data.select("row", "features", F.col(label).alias("label_index"), F.col(fold_col).alias("fold"))
+        f1, _ = search_vector_folds(
+            data, k, int(classes) + 1, size if kernel == "linear" else n_components, grid["C"], "hinge", max_iter
         )
-        if score > best_score:
-            best, best_score = {"C": point["C"], "kernel": kernel, "gamma": gamma}, score
+        means = f1.mean(axis=0)
+        if means.max() > best_score:
+            best_score = float(means.max())
+            best = {"C": grid["C"][int(means.argmax())], "kernel": kernel, "gamma": gamma}
     return best, best_score
 
 
@@ -270,8 +276,8 @@ def logistic_regression_job(
 ) -> LogisticJob:
     """Grid search by stratified folds, refit on all rows, out-of-fold predictions, report and confusion counts.
 
-    The grid is grouped by vectoriser setting: a fold is vectorised once per setting and serves every C. The fold
-    models of the best point are kept, as they are the ones that make its out-of-fold predictions. ``min_docs``
+    The models of all folds, vocabulary sizes and C of an n-gram setting are trained side by side; the held-out rows
+    are scored by all of them once, and those scores of the best point are its out-of-fold predictions. ``min_docs``
     first drops words found in fewer documents of the whole corpus.
     """
     grid = LOGISTIC_GRID if grid is None else grid
@@ -282,36 +288,22 @@ def logistic_regression_job(
         kept = filter_rare_words(data, key, tokens, min_docs, tokens)
         data = data.drop(tokens).join(kept, key)
     data = with_folds(data, key, label, cv_folds, random_state)
-    data = materialised(data, "folds")
-    means: list[tuple[dict, float]] = []
-    best_score, best_models = -1.0, []
-    for features, ngram in itertools.product(grid["max_features"], grid["ngram_max"]):
-        strengths = list(grid["C"])
-        scores: list[list[float]] = [[] for _ in strengths]
-        models: list[list[TextClassifier]] = [[] for _ in strengths]
-        for fold in range(cv_folds):
-            train, held_out = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-            vectorizer = TfidfVectorizer(inputCol=tokens, maxFeatures=features, ngramMax=ngram).fit(train)
-            parts = [
-                vectorizer.transform(part).select("features", "label_index").persist(StorageLevel.MEMORY_AND_DISK)
-                for part in (train, held_out)
-            ]
-            for i, c in enumerate(strengths):
-                classifier = fit_logistic(parts[0], C=c, max_iter=max_iter)
-                scores[i].append(weighted_f1_of(classifier.transform(parts[1])))
-                models[i].append(TextClassifier(vectorizer, classifier, classes))
-            for part in parts:
-                part.unpersist()
-        for i, c in enumerate(strengths):
-            mean = float(np.mean(scores[i]))
-            means.append(({"max_features": features, "ngram_max": ngram, "C": c}, mean))
-            if mean > best_score:
-                best_score, best_models = mean, models[i]
-    best = max(means, key=lambda pair: pair[1])[0]
-    held_out = [model.transform(data.where(F.col("fold") == f)) for f, model in enumerate(best_models)]
-    predictions = held_out[0]
-    for part in held_out[1:]:
-        predictions = predictions.unionByName(part)
+    data = materialised(data.withColumn("row", F.monotonically_increasing_id()), "folds")
+    found = {}
+    for ngram in grid["ngram_max"]:
+        points, f1, held_out = search_text_folds(
+            data, tokens, cv_folds, len(classes), grid["max_features"], ngram, grid["C"], max_iter
+        )
+        for place, (size, c) in enumerate(points):
+            found[size, ngram, c] = float(f1[:, place].mean()), held_out, place
+    means = [
+        ({"max_features": size, "ngram_max": ngram, "C": c}, found[size, ngram, c][0])
+        for size, ngram, c in itertools.product(grid["max_features"], grid["ngram_max"], grid["C"])
+    ]
+    best, best_score = max(means, key=lambda pair: pair[1])
+    _, held_out, place = found[best["max_features"], best["ngram_max"], best["C"]]
+    named = held_out.select("row", F.get("predicted", F.lit(place)).alias("prediction"))
+    predictions = data.select("row", key, label, "fold").join(named, "row")
     predictions = with_class_name(predictions, "prediction", classes, "predicted_label")
     predictions = predictions.select(key, label, "fold", "predicted_label")
     return LogisticJob(

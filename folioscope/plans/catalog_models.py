@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from folioscope.operators import models as M
 from folioscope.operators.embed import embed_texts
 from folioscope.operators.metrics import accuracy, classification_report
+from folioscope.operators.shared_fit import search_vector_folds
 from folioscope.operators.vectorize import TfidfVectorizer
 from folioscope.plans.catalog_text import FEATURE_NAMES_SQL, MAX_FEATURES, tokens
 from folioscope.plans.outlier_study import flagged_table, master_table
 from folioscope.plans.registry import Tables, register
 from folioscope.session import class_list, materialised
 
-ONE_POINT = {"max_features": [MAX_FEATURES], "ngram_max": [1], "C": [1.0]}
-
 
 def fitted(t: Tables):
     docs, classes = materialised(tokens(t), "tokens"), class_list(t.documents, "lang")
@@ -42,9 +41,9 @@ def logistic_regression(t: Tables) -> DataFrame:
 
 @register("m4_grid_search")
 def grid_search(t: Tables) -> DataFrame:
-    grid = {"max_features": [MAX_FEATURES], "ngram_max": [1], "C": [0.1, 10.0]}
-    job = M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens", cv_folds=3, grid=grid)
-    return t.spark.createDataFrame([(p["max_features"], p["C"], s) for p, s in job.scores], "max_features int, C double, f1 double")
+    job = M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens")
+    rows = [(p["max_features"], p["ngram_max"], p["C"], s) for p, s in job.scores]
+    return t.spark.createDataFrame(rows, "max_features int, ngram_max int, C double, f1 double")
 
 
 @register("m5_out_of_fold")
@@ -57,7 +56,7 @@ def out_of_fold(t: Tables) -> DataFrame:
 
 @register("m6_logistic_job")
 def logistic_job(t: Tables) -> DataFrame:
-    return M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens", cv_folds=5, grid=ONE_POINT).report
+    return M.logistic_regression_job(tokens(t), "doc_id", "lang", "tokens").report
 
 
 @register("m7_model_assets", FEATURE_NAMES_SQL)
@@ -115,9 +114,16 @@ def random_forest(t: Tables) -> DataFrame:
 @register("m12_linear_svm")
 def _(t: Tables) -> DataFrame:
     docs = M.with_label_index(tokens(t), "lang", class_list(t.documents, "lang"))
-    ready = materialised(TfidfVectorizer(maxFeatures=MAX_FEATURES).fit(docs).transform(docs).drop("tokens"), "vectors")
-    out = M.fit_linear_svm(ready, C=1.0).transform(ready)
-    return out.select("doc_id", "lang", "prediction")
+    ready = TfidfVectorizer(maxFeatures=MAX_FEATURES).fit(docs).transform(docs).drop("tokens")
+    ready = M.with_folds(ready.where("label_index IS NOT NULL"), "doc_id", "lang", 5)
+    ready = materialised(ready.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    classes = class_list(t.documents, "lang")
+    strengths = M.SVM_GRID["C"]
+    f1, held_out = search_vector_folds(ready, 5, len(classes), MAX_FEATURES, strengths)
+    best = int(f1.mean(axis=0).argmax())
+    out = held_out.select("row", F.get("predicted", F.lit(best)).alias("prediction")).join(ready, "row")
+    out = M.with_class_name(out, "prediction", classes, "predicted_label")
+    return out.select("doc_id", "lang", "fold", F.lit(strengths[best]).alias("C"), "predicted_label")
 
 
 @register("m13_rbf_kernel")
@@ -132,10 +138,10 @@ def _(t: Tables) -> DataFrame:
 @register("m13_svm_grid")
 def _(t: Tables) -> DataFrame:
     data, _ = vectors(t)
-    folded = materialised(M.with_folds(data.drop("features"), "vec_id", "name", 2), "folds")
-    grid = {"C": [1.0], "kernel": ["linear", "rbf"], "gamma": ["scale"]}
-    best, score = M.svm_grid_search(folded, "embedding", 2, grid, n_components=64, max_iter=5)
-    return t.spark.createDataFrame([(best["kernel"], best["C"], score)], "kernel string, C double, f1 double")
+    folded = materialised(M.with_folds(data.drop("features"), "vec_id", "name", 5), "folds")
+    best, score = M.svm_grid_search(folded, "embedding", 5)
+    row = (best["kernel"], best["gamma"], best["C"], score)
+    return t.spark.createDataFrame([row], "kernel string, gamma string, C double, f1 double")
 
 
 @register("m14_hold_out_forest")
