@@ -8,55 +8,60 @@ the document is within ``RATIO`` times the item's words of it in edit distance o
 * Embedding: a random walk over the window (Chakraborty, Goldenberg, Koucký 2016) copies its words to a sequence three
   times as long, repeating a word or going on as a random function of step and word says. Few edits become few
   differing places.
-* LSH: each of ``TABLES`` tables samples ``PLACES`` of the places; a window of the size of an item that agrees with
-  the item in a table is a candidate. A window at each place of the stretch is tried.
+* LSH: each of the ``TABLES`` tables of a walk samples ``PLACES`` of the places; a window of the size of an item that
+  agrees with the item in a table is a candidate. A window at each place of the stretch is tried, with as many walks as
+  lead to ``TARGET`` of random occurrences with the most edits that the item's size allows.
 * Verification: exact edit distance between the item and the best stretch around the window.
 
-Items below ``MIN_WORDS`` words are too common to mean anything and match nothing. The items are split into blocks of
-a bounded size, and each block is broadcast and tried against all documents. Null, empty and letterless texts hold
-nothing; every row is judged on its own, whatever its id.
+Items of less than five words allow no edit: they occur as whole word runs. Items without a word match nothing. The
+items are split into blocks of a bounded size, and each block is broadcast and tried against all documents. Null, empty
+and letterless texts hold nothing; every row is judged on its own, whatever its id.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Hashes, mixed, windowed_hash
+from folioscope.llm.common import BASES, mixed, powers, windowed_hash
 
 RATIO = 0.2
-MIN_WORDS = 5
-TABLES = 24
-PLACES = 2
+#: Share of the occurrences with as many edits as are allowed that the walks of an item size must lead to.
+TARGET = 0.97
+#: Tables of a walk, and places that a table samples.
+TABLES, PLACES = 24, 2
 #: Characters of item text that are broadcast at once.
 BLOCK_CHARS = 8_000_000
-WORD = re.compile(r"[^\W_]+")
 
 
-class TokenWords(dict):
-    """white-space separated token -> hashes of its words."""
+class TokenWords:
+    """Texts to the hashes of their words, a text at a time."""
 
-    def __init__(self, room: int = 200_000):
-        super().__init__()
-        self.room, self.hashes = room, Hashes()
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        found = tuple(self.hashes[w.encode("utf-8", "surrogatepass")] for w in WORD.findall(token.lower()))
-        if len(self) >= self.room:
-            self.clear()
-        self[token] = found
-        return found
+    def __init__(self):
+        self.is_word = np.frompyfunc(lambda c: chr(c).isalnum(), 1, 1)(np.arange(0x110000)).astype(bool)
+        self.powers = powers(BASES[1], 64)
 
     def of(self, text: str) -> np.ndarray:
-        ids: list[int] = []
-        for found in map(self.__getitem__, text.split()):
-            ids += found
-        return np.array(ids, np.uint64)
+        lower = text.lower()
+        if lower.isascii():
+            codes = np.frombuffer(lower.encode(), np.uint8)
+        else:
+            codes = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+        places = np.flatnonzero(self.is_word[codes])
+        if not len(places):
+            return np.zeros(0, np.uint64)
+        first = np.flatnonzero(np.append(True, places[1:] != places[:-1] + 1))
+        length = np.diff(np.append(first, len(places)))
+        if length.max() > len(self.powers):
+            self.powers = powers(BASES[1], 2 * int(length.max()))
+        within = np.arange(len(places)) - np.repeat(first, length)
+        codes = codes[places].astype(np.uint64) + np.uint64(1)
+        return mixed(np.add.reduceat(codes * self.powers[within], first))
 
 
 def seed_width(m: int) -> int:
@@ -79,18 +84,42 @@ def cgk(windows: np.ndarray, seed: int = 1) -> np.ndarray:
     return out
 
 
-def sampled_keys(embedded: np.ndarray, tables: int = TABLES, places: int = PLACES, seed: int = 7) -> np.ndarray:
-    """n x tables keys; each hashes the words at the places that its table samples from the first two thirds, which a
-    walk reaches before it runs out of words."""
-    m = embedded.shape[1]
-    chosen = np.random.default_rng([seed, m]).integers(0, max(1, 2 * m // 3), (tables, places))
-    keys = np.zeros((len(embedded), tables), np.uint64)
-    for t in range(tables):
-        for p in chosen[t]:
-            keys[:, t] = mixed(keys[:, t] * np.uint64(3) + embedded[:, p] + np.uint64(t))
+def sampled_keys(windows: np.ndarray, walk: int) -> np.ndarray:
+    """n x ``TABLES`` keys of one random walk over the windows; each hashes the words at the places that its table
+    samples, from the first two thirds of the embedding: a walk runs out of words later on."""
+    embedded, m = cgk(windows, walk), windows.shape[1]
+    chosen = np.random.default_rng([walk, m]).integers(0, 2 * m, (TABLES, PLACES))
+    keys = np.zeros((len(windows), TABLES), np.uint64)
+    for p in range(PLACES):
+        keys = mixed(keys * np.uint64(3) + embedded[:, chosen[:, p]] + np.arange(TABLES, dtype=np.uint64))
     return keys
 
 
+@lru_cache(maxsize=4096)
+def walks_for(m: int, target: float = TARGET, trials: int = 64) -> int:
+    """How many walks items of ``m`` words need, by trial: random items with ``RATIO * m`` random edits, tried from the
+    window where the edited text begins and two on either side. Windows further off only add to what is found."""
+    edits = int(RATIO * m)
+    if not edits:
+        return 1
+    rng = np.random.default_rng([m, 3])
+    items = rng.integers(1, 1 << 62, (trials, m)).astype(np.uint64)
+    texts = rng.integers(1, 1 << 62, (trials, 2 * m + 4)).astype(np.uint64)
+    for i in range(trials):
+        own = items[i].tolist()
+        for _ in range(edits):
+            at, fresh = int(rng.integers(0, len(own))), int(rng.integers(1, 1 << 62))
+            own[at : at + 1] = ([], [fresh], [fresh, own[at]])[rng.integers(0, 3)]
+        texts[i, 2 : 2 + len(own)] = own
+    found, walk = np.zeros(trials, bool), 0
+    while found.mean() < target:
+        walk += 1
+        keys = sampled_keys(items, walk)
+        for at in range(5):
+            found |= (sampled_keys(texts[:, at : at + m], walk) == keys).any(axis=1)
+    return walk
+
+
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Edit distance of ``item`` to the nearest stretch of ``text``, and the stretch [begin, end)."""
     n = len(text)
@@ -118,7 +147,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         words = TokenWords()
-        self.items = [(i, ids) for i, t in items if len(ids := words.of(t or "")) >= MIN_WORDS]
+        self.items = [(i, ids) for i, t in items if len(ids := words.of(t or ""))]
         self.sizes = sorted({len(ids) for _, ids in self.items})
         self.reach = np.array([len(ids) + int(RATIO * len(ids)) for _, ids in self.items], np.int64)
         self.seeds = {}
@@ -132,15 +161,16 @@ class ItemIndex:
                 marks[(grams >> np.uint64(42)).astype(np.int64)] = True
                 self.seeds[q] = grams[order], holders[order], marks
         self.needed = np.array([self.least_seeds(len(ids)) for _, ids in self.items], np.int64)
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        #: Of each item size, for every table its sorted keys and the items that have them.
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for m in self.sizes:
-            same = [k for k, (_, ids) in enumerate(self.items) if len(ids) == m]
-            keys = sampled_keys(cgk(np.stack([self.items[k][1] for k in same])))
-            tables: list[dict[int, list[int]]] = [{} for _ in range(TABLES)]
-            for k, own in zip(same, keys.tolist(), strict=True):
-                for t, value in enumerate(own):
-                    tables[t].setdefault(value, []).append(k)
-            self.tables[m] = tables
+            same = np.array([k for k, (_, ids) in enumerate(self.items) if len(ids) == m])
+            own, self.tables[m] = np.stack([self.items[k][1] for k in same]), []
+            # Sizes are rounded up for the trial only.
+            for walk in range(1, walks_for(m if m < 32 else -(-m // 32) * 32) + 1):
+                keys = sampled_keys(own, walk)
+                order = np.argsort(keys, axis=0, kind="stable")
+                self.tables[m] += [(keys[order[:, t], t], same[order[:, t]]) for t in range(TABLES)]
 
     @staticmethod
     def least_seeds(m: int) -> int:
@@ -180,22 +210,25 @@ class ItemIndex:
             edits = int(RATIO * m)
             padded = np.concatenate([ids, np.zeros(m, np.uint64)])
             candidates: dict[int, set[int]] = {}
-            for part in range(0, len(begins), 4096):
-                some = begins[part : part + 4096]
-                keys = sampled_keys(cgk(padded[some[:, None] + np.arange(m)]))
-                for t, table in enumerate(self.tables[m]):
-                    known = np.fromiter(table, np.uint64, len(table))
-                    for w in np.flatnonzero(np.isin(keys[:, t], known)).tolist():
-                        for k in table[int(keys[w, t])]:
+            tables = self.tables[m]
+            for part in range(0, len(begins), 2048):
+                some = begins[part : part + 2048]
+                windows = padded[some[:, None] + np.arange(m)]
+                for t, (known, holders) in enumerate(tables):
+                    if t % TABLES == 0:
+                        keys = sampled_keys(windows, t // TABLES + 1)
+                    own = keys[:, t % TABLES]
+                    low, high = np.searchsorted(known, own), np.searchsorted(known, own, "right")
+                    for w in np.flatnonzero(high > low).tolist():
+                        for k in holders[low[w] : high[w]].tolist():
                             candidates.setdefault(k, set()).add(int(some[w]))
             for k, places in candidates.items():
-                item, done = self.items[k][1], -1
+                (name, item), done = self.items[k], -1
                 for at in sorted(places):
-                    if at <= done and self.items[k][0] in best:
+                    if name in best and (at <= done or best[name][2] == 0):
                         continue
                     low = max(0, at - edits)
                     distance, begin, end = best_stretch(item, ids[low : at + m + edits])
-                    name = self.items[k][0]
                     if distance <= edits and (name not in best or distance < best[name][2]):
                         best[name] = low + begin, low + end, distance
                         done = at + edits

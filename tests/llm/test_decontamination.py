@@ -54,7 +54,42 @@ def test_odd_rows(spark):
     bench = spark.createDataFrame([(7, item), (None, item), (8, None), (9, "word"), (7, item)], "item_id long, text string")
     found = contamination(docs, bench).collect()
     assert sorted((r.doc_id or 0, [h.item_id for h in r.hits]) for r in found) == [
-        (0, [7]), (1, []), (2, []), (3, []), (4, [7]), (4, [7])]
+        (0, [7]), (1, []), (2, []), (3, []), (4, [7]), (4, [7, 9])]
     assert contamination(docs.limit(0), bench).collect() == []
     assert all(r.hits == [] for r in contamination(docs, bench.limit(0)).collect())
     assert ItemIndex([]).occurrences(TokenWords().of(item)) == []
+
+
+def test_words_are_runs_of_letters_and_digits():
+    words = TokenWords()
+    texts = ["Ab cd", "ab_CD", "ab--cd!", "\tab\u00a0cd\n", "É1 ß², ab", "é1 SS²"]
+    ids = [words.of(t).tolist() for t in texts]
+    assert ids[0] == ids[1] == ids[2] == ids[3] and len(ids[0]) == 2 and ids[4][2] == ids[0][0]
+    assert words.of("x" * 500 + " ab").tolist()[1] == ids[0][0] and len(words.of(" _ !")) == 0
+    assert len({v for t in ("a", "aa", "aaa", "ba", "ab", "a1", "\U0001d7d9") for v in words.of(t).tolist()}) == 7
+
+
+def test_short_items_match_as_whole_runs(spark):
+    bench = spark.createDataFrame([(1, "Deep blue sea"), (2, "sea"), (3, "blue")], "item_id long, text string")
+    rows = [(1, "the deep, BLUE sea is", None), (2, "deep sea blue", None), (3, "seaside", None), (4, "deep blue seas", None)]
+    found = {r.doc_id: [h.item_id for h in r.hits] for r in contamination(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    assert found == {1: [1, 2, 3], 2: [2, 3], 3: [], 4: [3]}
+
+
+def test_recall_at_the_limit():
+    """As many edits as are allowed, for each size: what brute force finds and the index doesn't."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    for m in (5, 20, 60, 120):
+        items = [(i, " ".join(rng.choice(vocabulary, m))) for i in range(60)]
+        index, words, wanted, found = ItemIndex(items), TokenWords(), 0, 0
+        for i, text in items:
+            own = text.split()
+            for _ in range(int(RATIO * m)):
+                at = rng.integers(0, len(own))
+                own[at : at + 1] = [[], ["new"], ["fresh", own[at]]][rng.integers(0, 3)]
+            doc = [*rng.choice(vocabulary, 30), *own, *rng.choice(vocabulary, 30)]
+            if distance(text.split(), doc) <= int(RATIO * m):
+                wanted += 1
+                found += i in {hit[0] for hit in index.occurrences(words.of(" ".join(doc)))}
+        assert wanted > 50 and found >= 0.95 * wanted
