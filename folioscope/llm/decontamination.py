@@ -223,15 +223,15 @@ class ItemIndex:
                         for k in holders[low[w] : high[w]].tolist():
                             candidates.setdefault(k, set()).add(int(some[w]))
             for k, places in candidates.items():
-                (name, item), done = self.items[k], -1
-                for at in sorted(places):
-                    if name in best and (at <= done or best[name][2] == 0):
-                        continue
-                    low = max(0, at - edits)
-                    distance, begin, end = best_stretch(item, ids[low : at + m + edits])
+                (name, item), at = self.items[k], np.array(sorted(places))
+                # Windows that overlap are verified together.
+                for run in np.split(at, np.flatnonzero(np.diff(at) > m) + 1):
+                    if name in best and best[name][2] == 0:
+                        break
+                    low = max(0, int(run[0]) - edits)
+                    distance, begin, end = best_stretch(item, ids[low : int(run[-1]) + m + edits])
                     if distance <= edits and (name not in best or distance < best[name][2]):
                         best[name] = low + begin, low + end, distance
-                        done = at + edits
         return sorted((i, *x) for i, x in best.items())
 
 
