@@ -250,7 +250,11 @@ def contamination(
     size = items.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-size[0] // block_chars))
     kept = [c for c in docs.columns if c != name]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.array().cast(HITS).alias(name))
+    # The columns travel as one, so their names don't matter.
+    out = docs.select(
+        F.col(f"`{text}`").alias("_content"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_all"),
+        F.array().cast(HITS).alias("_hits"),
+    )
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(ItemIndex([(r.item, r.content) for r in own.orderBy("item", "content").collect()]))
@@ -260,12 +264,11 @@ def contamination(
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
             for batch in batches:
                 found = []
-                for content, before in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                for content, before in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     hits = index.occurrences(words.of(content)) if content and index.items else []
                     found.append((before or []) + [dict(zip(("item_id", "begin", "end", "distance"), h, strict=True)) for h in hits])
-                columns = [*batch.columns[1:-1], pa.array(found, kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
+                columns = [batch.column(0), batch.column(1), pa.array(found, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["_content", "_all", "_hits"])
 
-        frame = out.select(F.col(f"`{text}`").alias("_content"), *[F.col(f"`{c}`") for c in [*kept, name]])
-        out = frame.mapInArrow(search, out.schema)
-    return out
+        out = out.mapInArrow(search, out.schema)
+    return out.select(*[F.col("_all")[c].alias(c) for c in kept], F.col("_hits").alias(name))

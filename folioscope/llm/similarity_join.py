@@ -150,7 +150,15 @@ def jaccard_join(
     trees: int = TREES, depth: int = DEPTH,
 ) -> DataFrame:
     """``key, class_id, copy_id, n_links`` of every row; see above."""
-    spark = docs.sparkSession
+    found = classed_rows(docs, key, text, threshold, target, trees, depth)
+    return found.select(key, "class_id", "copy_id", "n_links")
+
+
+def classed_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET,
+    trees: int = TREES, depth: int = DEPTH,
+) -> DataFrame:
+    """The same with ``row`` and ``class_row``, the row keys of the text and of the first text of its class."""
     depth = matched_depth(trees, depth, threshold, target)
     rows = docs.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("doc"), row_key(text).alias("row"), F.col(text).alias("content")
@@ -225,19 +233,23 @@ def jaccard_join(
     verified = materialised(dealt.mapInArrow(verify, "a long, b long, n long"), "jaccard_links")
     roots = components(verified.select("a", "b"), "jaccard_components")
     links = verified.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    smallest = roots.join(classes.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("class_id"))
-    classed = roots.join(smallest, "root").select("node", "class_id")
-    known = classes.select("node", F.col("doc").alias("copy_id"), "copies", *own_set).join(links, "node", "left").join(classed, "node", "left")
+    smallest = roots.join(classes.select("node", "doc", "row"), "node").groupBy("root").agg(F.min(F.struct("doc", "row")).alias("class"))
+    classed = roots.join(smallest, "root").select("node", "class")
+    known = classes.select("node", "doc", "row", F.col("doc").alias("copy_id"), "copies", *own_set).join(links, "node", "left").join(classed, "node", "left")
     known = known.select(
-        *own_set, "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
+        *own_set, "copy_id", F.coalesce("class.doc", "doc").alias("class_id"), F.coalesce("class.row", "row").alias("class_row"),
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    some = full.select("doc", *own_set).join(known, own_set).select(F.col("doc").alias(key), "class_id", "copy_id", "n_links")
+    some = full.select("doc", "row", *own_set).join(known, own_set).select(
+        F.col("doc").alias(key), "class_id", "copy_id", "n_links", "row", "class_row"
+    )
     blank = signed.where(F.col("size") == 0).select(
-        F.col("doc").alias(key), F.col("doc").alias("class_id"), F.col("doc").alias("copy_id"), F.lit(0).cast("long").alias("n_links")
+        F.col("doc").alias(key), F.col("doc").alias("class_id"), F.col("doc").alias("copy_id"), F.lit(0).cast("long").alias("n_links"),
+        "row", F.col("row").alias("class_row"),
     )
     nameless = docs.where(F.col(key).isNull()).select(
         F.lit(None).cast("long").alias(key), F.lit(None).cast("long").alias("class_id"),
         F.lit(None).cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"),
+        row_key(text).alias("row"), row_key(text).alias("class_row"),
     )
     return some.unionByName(blank).unionByName(nameless)

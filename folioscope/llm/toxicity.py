@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ from folioscope.llm.language_id import BITS, CharModel, gram_counts, kneser_ney
 
 #: Labelled rows from which the classifier is fitted, at most about this number.
 LABELLED_ROWS = 40_000
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Features that a task adds up before it passes them on.
+TALLIED = 200_000
 ORDER = 4
 #: States kept at each step of the decoder.
 BEAM = 24
@@ -193,29 +196,30 @@ def strengths_of(token: str, restorer: Restorer, weights: dict[str, float]) -> S
 
 
 class ToxicityModel:
-    """A fitted model: ``scores(docs)`` and ``filtered(docs)`` apply it."""
+    """A fitted model. Its character model is broadcast once, for all that is fitted and scored with it."""
 
-    def __init__(self, model: CharModel, weights: dict[str, float], slope: float, base: float, token: str | None = None):
+    def __init__(self, model: Broadcast, weights: dict[str, float], slope: float, base: float, token: str | None = None):
         self.model, self.weights, self.slope, self.base = model, weights, slope, base
         self.model_token, self.token = token or uuid.uuid4().hex, uuid.uuid4().hex
 
     def with_scores(self, rows: DataFrame, text: str, name: str) -> DataFrame:
         """``rows`` with the column ``name``; a null or empty text has no features and gets the base rate."""
         model_token, token, slope, base = self.model_token, self.token, self.slope, self.base
-        shared = rows.sparkSession.sparkContext.broadcast((self.model, self.weights))
+        model, weights = self.model, rows.sparkSession.sparkContext.broadcast(self.weights)
         kept = [c for c in rows.columns if c != name]
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, weights = shared.value
-            strengths = strengths_of(token, restorer_of(model_token, model), weights)
+            strengths = strengths_of(token, restorer_of(model_token, model.value), weights.value)
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 total = base + slope * np.fromiter((strengths.of(t) if t else 0.0 for t in texts), float, len(texts))
                 values = pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], values], names=[*kept, name])
+                yield pa.RecordBatch.from_arrays([batch.column(1), values], names=["_all", "_score"])
 
-        frame = rows.select(F.col(text).alias("_content"), *kept)
-        return frame.mapInArrow(score, rows.select(*kept).schema.add(name, "double"))
+        # The columns travel as one, so their names don't matter.
+        frame = rows.select(F.col(f"`{text}`").alias("_content"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_all"))
+        scored = frame.mapInArrow(score, frame.select("_all").schema.add("_score", "double"))
+        return scored.select(*[F.col("_all")[c].alias(c) for c in kept], F.col("_score").alias(name))
 
 
 def fit_toxicity(
@@ -229,7 +233,7 @@ def fit_toxicity(
     counts = materialised(gram_counts(every, ORDER), "toxicity_counts")
     model = CharModel.load(materialised(kneser_ney(counts, ORDER), "toxicity_model"), ORDER)
     if not model.groups:
-        return ToxicityModel(CharModel(["all"], ORDER, {(n, c): (np.zeros(0, np.int32), np.zeros((0, 1), np.float32)) for n in range(1, ORDER + 1) for c in (0, 1)}), {}, 1.0, -1.0)
+        return ToxicityModel(spark.sparkContext.broadcast(CharModel(["all"], ORDER, {(n, c): (np.zeros(0, np.int32), np.zeros((0, 1), np.float32)) for n in range(1, ORDER + 1) for c in (0, 1)})), {}, 1.0, -1.0)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & training)
     known = known.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     n = known.count()
@@ -262,7 +266,7 @@ def fit_toxicity(
                     if own is None:
                         own = tally[f] = [0, 0, 0, 0]
                     own[at] += 1
-            if len(tally) > 1_000_000:
+            if len(tally) > TALLIED:
                 yield out()
         yield out()
 
@@ -272,7 +276,7 @@ def fit_toxicity(
     features = materialised(features, "toxicity_features")
     totals = features.where("f = ''").first()
     if totals is None or not totals.b + totals.d or not totals.a + totals.c:
-        return ToxicityModel(model, {}, 1.0, -1.0)
+        return ToxicityModel(shared, {}, 1.0, -1.0)
 
     def weights(no: Column, yes: Column, n_no: int, n_yes: int) -> dict[str, float]:
         """Shrunken log-odds against the base rate, of the features that speak for the label by ``least`` or more."""
@@ -283,12 +287,12 @@ def fit_toxicity(
         return {r.f: r.w for r in chosen.collect()}
 
     early = weights(F.col("a"), F.col("b"), totals.a, totals.b)
-    trial = ToxicityModel(model, early, 1.0, 0.0, token).with_scores(rows.where("late"), "content", "_score")
+    trial = ToxicityModel(shared, early, 1.0, 0.0, token).with_scores(rows.where("late"), "content", "_score")
     seen = trial.select("_label", F.round(F.log(F.col("_score") / (1 - F.col("_score"))), 2).alias("x"))
     seen = seen.groupBy("_label", "x").count().toPandas()
     slope, base = logistic(seen["x"].to_numpy(), seen["_label"].to_numpy(), seen["count"].to_numpy())
     both = weights(F.col("a") + F.col("c"), F.col("b") + F.col("d"), totals.a + totals.c, totals.b + totals.d)
-    return ToxicityModel(model, both, slope, base, token)
+    return ToxicityModel(shared, both, slope, base, token)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 50) -> tuple[float, float]:
