@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.catalog import remainder, table, tokenizer_file
-from folioscope.llm.common import materialised
+from folioscope.llm.common import materialised, row_key
 from folioscope.llm.decontamination import contamination
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.packing import packed_documents
-from folioscope.llm.similarity_join import jaccard_join
+from folioscope.llm.similarity_join import classed_rows
 from folioscope.llm.toxicity import fit_toxicity
 
 TOXIC_FROM = 0.3
@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.3 or more go. Labels of a quarter of the ids are not learnt from."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     name = unused(docs, "toxicity")
-    return model.with_scores(docs, "text", name).where(F.col(name) < TOXIC_FROM).select(docs.columns)
+    return columns_of(docs, model.with_scores(docs, "text", name).where(F.col(name) < TOXIC_FROM))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +38,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id stays."""
-    classes = jaccard_join(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of linked documents the first one by id stays; rows alike in id and text are one document."""
+    name, found = unused(docs, "row_key"), classed_rows(docs)
+    later = (F.col("doc_id") != F.col("class_id")) | (F.col("row") != F.col("class_row"))
+    gone = found.where(later).select("doc_id", F.col("row").alias(name)).distinct()
+    return columns_of(docs, docs.withColumn(name, row_key()).join(gone, ["doc_id", name], "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     name = unused(docs, "hits")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), name=name)
-    return found.where(F.size(name) == 0).select(docs.columns)
+    return columns_of(docs, found.where(F.size(name) == 0))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +57,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packed_documents(docs, tokenizer_file())
 
 
+def columns_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of ``docs``, whatever their names."""
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def unused(docs: DataFrame, name: str) -> str:
     while name in docs.columns:
         name = "_" + name
