@@ -11,8 +11,9 @@ blocks seen so far estimates the whole distance, and a candidate whose estimate
 abandoned (ADSampling, Gao and Long 2023). Inner product and distance are tied by the norms, so each candidate has its
 own limit. Survivors are scored in double precision on the original vectors.
 
-Vectors that are null, zero, hold null or non-finite components, have no id or not the table's usual length take no
-part. Rows with one id are one vector, the largest in array order. Fewer candidates than asked for: all of them.
+Vectors that are null, zero, hold null or non-finite components, or have no id, take no part. Every row is a vector of
+its own, also where rows share an id; a row finds the others with its id. A shorter vector counts as if zeros followed.
+Fewer candidates than asked for: all of them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import materialised
+
 SAMPLE, LISTS, PART, BLOCK, TARGET = 4096, 64, 8192, 16, 0.98
 #: How many standard errors a partial distance may exceed its limit by.
 CAUTION = 2.1
@@ -58,23 +61,24 @@ class Lists:
 class Part:
     """The vectors of one part, sorted by list."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lists: Lists):
+    def __init__(self, ids: np.ndarray, names: np.ndarray, vectors: np.ndarray, lists: Lists):
         rotated = vectors @ lists.rotation
         own = lists.nearest(rotated)
-        order = np.lexsort((ids, own))
-        self.lists, self.ids, self.vectors, self.own = lists, ids[order], vectors[order], own[order]
+        order = np.lexsort((names, ids, own))
+        self.lists, self.ids, self.names, self.vectors, self.own = lists, ids[order], names[order], vectors[order], own[order]
         self.blocks = [np.ascontiguousarray(rotated[order][:, d : d + BLOCK]) for d in range(0, rotated.shape[1], BLOCK)]
         self.norms = (vectors[order] ** 2).sum(axis=1)
         self.bounds = np.searchsorted(self.own, np.arange(len(lists.centroids) + 1))
 
-    def search(self, name: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, name: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, row names and scores of the best rows but the one called ``name``."""
         rotated = query @ self.lists.rotation
         order = np.argsort(-(self.lists.centroids @ rotated), kind="stable")[: self.lists.probes]
         seen, found, scores, bar = 0, [], [], -np.inf
         # The nearest lists in full until there are enough rows for a bar.
         while seen < len(order) and sum(map(len, found)) <= k:
             rows = np.arange(self.bounds[order[seen]], self.bounds[order[seen] + 1])
-            rows = rows[self.ids[rows] != name]
+            rows = rows[self.names[rows] != name]
             found.append(rows)
             scores.append(self.vectors[rows] @ query)
             seen += 1
@@ -84,7 +88,7 @@ class Part:
         probed = np.zeros(len(self.lists.centroids), bool)
         probed[order[seen:]] = True
         rows = np.flatnonzero(probed[self.own])
-        rows = rows[self.ids[rows] != name]
+        rows = rows[self.names[rows] != name]
         limit = query @ query + self.norms[rows] - 2 * bar
         partial, dims, total = np.zeros(len(rows)), 0, len(query)
         for b, block in enumerate(self.blocks):
@@ -97,18 +101,20 @@ class Part:
         found.append(rows)
         scores.append(self.vectors[rows] @ query)
         rows, have = np.concatenate(found), np.concatenate(scores)
-        top = np.lexsort((self.ids[rows], -have))[:k]
-        return self.ids[rows[top]], have[top]
+        top = np.lexsort((self.names[rows], self.ids[rows], -have))[:k]
+        return self.ids[rows[top]], self.names[rows[top]], have[top]
 
 
 def usable(embeddings: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, v`` of the vectors that take part."""
+    """``id, name, v`` of the vectors that take part, all of one length."""
     v = F.col(vector).cast("array<double>")
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = embeddings.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
     rows = rows.where(sound)
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (usual.n if usual else 0)).groupBy("id").agg(F.max("v").alias("v"))
+    longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))
+    # A row is named once and for all: the table is written.
+    return materialised(rows.select("id", F.monotonically_increasing_id().alias("name"), padded.alias("v")), "vectors")
 
 
 def nearest_neighbours(
@@ -120,7 +126,7 @@ def nearest_neighbours(
     rows = usable(embeddings, key, vector)
     n = rows.count()
     share = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1)))
-    known = rows.where(share).orderBy("id").limit(2 * sample).toArrow().column("v").to_pylist()
+    known = rows.where(share).orderBy("id", "name").limit(2 * sample).toArrow().column("v").to_pylist()
     if not known:
         known = [r.v for r in rows.limit(sample).collect()]
     empty = "query_id long, rank int, vec_id long, score double"
@@ -128,15 +134,15 @@ def nearest_neighbours(
         return spark.createDataFrame([], empty)
     shared = spark.sparkContext.broadcast(Lists(np.array(known), k))
     parts = max(1, -(-n // part))
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"), "id", "v")
-    asked = rows.where(queries).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "id", "v")
+    dealt = rows.select(F.pmod(F.xxhash64("id", "name"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"), "id", "name", "v")
+    asked = rows.where(queries).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "id", "name", "v")
 
     def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return flat.flatten().to_numpy().reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids, vectors, held, here = shared.value, [], [], None, None
+        index, ids, names, vectors, held, here = shared.value, [], [], [], None, None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             part, asks = table.column("part").to_numpy(), table.column("asks").to_numpy()
@@ -145,26 +151,29 @@ def nearest_neighbours(
                 if i == j:
                     continue
                 if part[i] != here:
-                    here, ids, vectors, held = part[i], [], [], None
-                own, values = table.column("id").to_numpy()[i:j], matrix(table.column("v").slice(i, j - i))
+                    here, ids, names, vectors, held = part[i], [], [], [], None
+                own, called = table.column("id").to_numpy()[i:j], table.column("name").to_numpy()[i:j]
+                values = matrix(table.column("v").slice(i, j - i))
                 if not asks[i]:
                     ids.append(own)
+                    names.append(called)
                     vectors.append(values)
                     continue
                 if held is None:
-                    held = Part(np.concatenate(ids), np.concatenate(vectors), index) if ids else False
+                    held = Part(*map(np.concatenate, (ids, names, vectors)), index) if ids else False
                 if held is False:
                     continue
-                for name, query in zip(own.tolist(), values, strict=True):
-                    found, scores = held.search(name, query, k)
+                for query_id, name, query in zip(own.tolist(), called.tolist(), values, strict=True):
+                    found, found_names, scores = held.search(name, query, k)
+                    asked = [[x] * len(found) for x in (query_id, name)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(found), pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())],
-                        names=["query_id", "vec_id", "score"],
+                        [*(pa.array(x, pa.int64()) for x in (*asked, found, found_names)), pa.array(scores, pa.float64())],
+                        names=["query_id", "query", "vec_id", "name", "score"],
                     )
 
-    together = dealt.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "asks", "id")
-    found = together.mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    together = dealt.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "asks", "id", "name")
+    found = together.mapInArrow(search, "query_id long, query long, vec_id long, name long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "name")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )

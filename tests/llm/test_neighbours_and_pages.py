@@ -30,7 +30,8 @@ def test_odd_vectors(spark):
             (4, [nan, 1.0], "x"), (5, [inf, 1.0], "x"), (6, [None, 1.0], "x"), (None, [1.0, 1.0], "x"), (40, [0.0, 0.0], "x"), (7, [1.0], "x")]
     frame = spark.createDataFrame(rows, SCHEMA)
     found = [tuple(r) for r in nearest_neighbours(frame, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert found == [(0, 1, 1, 1.0), (0, 2, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 0, 0.0)]
+    assert found == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 7, 1.0), (0, 4, 20, 0.0),
+                     (20, 1, 1, 2.0), (20, 2, 1, 2.0), (20, 3, 0, 0.0), (20, 4, 7, 0.0)]
     assert nearest_neighbours(frame.limit(0), F.col("id") % 20 == 0).collect() == []
 
 
@@ -58,3 +59,19 @@ def test_main_texts(spark):
     assert found[1] == found[2] == main and found[3] == found[4] == "Only text"
     assert found[5] == found[6] == "" and found[7] == "cut off" and found[8].count("word") == 20000
     assert main_texts(pages.limit(0)).collect() == [] and main_texts(pages).columns == ["page_id", "url", "wrapper", "text"]
+
+
+def test_rows_that_share_an_id_and_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [3.0, 0.0, 4.0]), (3, [2.0]), (20, [1.0, 1.0, 1.0]),
+            (20, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (None, [9.0, 9.0]), (40, [0.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sound = [(i, v + [0.0] * (3 - len(v))) for i, v in rows
+             if i is not None and v and any(v) and all(x == x for x in v)]
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score)
+                   for r in nearest_neighbours(frame, F.col("id") % 20 == 0, k=20).collect())
+    expected = []
+    for a, (i, v) in enumerate(sound):
+        if i % 20 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(sound) if a != b)
+            expected += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    assert found == sorted(expected)
