@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import lexical_tokens, ratio, sentence_count
+from folioscope.functions.text import clean_tokens, lexical_tokens, ratio, sentence_count
 from folioscope.operators.arrays import unnest, with_term_counts
 from folioscope.session import MAX_BROADCAST_ROWS, fits_broadcast, materialised, measured_broadcast
 
@@ -134,3 +134,19 @@ def lemmatise(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame, ou
     return named.groupBy(id_col).agg(F.sort_array(pieces).alias("_kept")).select(
         id_col, F.col("_kept.term").alias(out_col)
     )
+
+
+def preprocess_text(
+    df: DataFrame, id_col: str, text_col: str, use_lemma: bool = True, lemmas: DataFrame | None = None,
+    out_col: str = "clean_text",
+) -> DataFrame:
+    """``(id, out_col)``: the cleaned and filtered tokens, joined by blanks, as lemmas or as they stand.
+
+    The filters look at the form; ``lemmas`` is a table ``(form, lemma)`` with one row per form.
+    """
+    if use_lemma and lemmas is None:
+        raise ValueError("use_lemma needs a table (form, lemma)")
+    tokens = df.select(id_col, clean_tokens(text_col).alias("_tokens"))
+    if use_lemma:
+        tokens = lemmatise(tokens, id_col, "_tokens", lemmas, "_tokens")
+    return tokens.select(id_col, F.array_join("_tokens", " ").alias(out_col))

@@ -158,7 +158,34 @@ def _(t: Tables) -> DataFrame:
 
 @register("l12_clean_text", f"SELECT doc_id, array_to_string({Q.cleaned()}, ' ') AS clean_text FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.texts.select("doc_id", X.clean_text("text").alias("clean_text"))
+    return L.preprocess_text(t.texts, "doc_id", "text", use_lemma=False)
+
+
+@register(
+    "l12_clean_text_lemmas",
+    f"""WITH tok AS (SELECT doc_id, generate_subscripts(k, 1) AS pos, unnest(k) AS form
+                 FROM (SELECT doc_id, {Q.cleaned()} AS k FROM documents)),
+    lem AS (SELECT DISTINCT form, left(form, 4) AS lemma FROM tok WHERE length(form) > 6),
+    j AS (SELECT doc_id, string_agg(coalesce(lemma, form), ' ' ORDER BY pos) AS clean_text
+          FROM tok LEFT JOIN lem USING (form) GROUP BY doc_id)
+    SELECT doc_id, coalesce(clean_text, '') AS clean_text FROM documents LEFT JOIN j USING (doc_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    docs = materialised(tokens(t), "tokens")
+    forms = unnest(docs.select(F.array_distinct("tokens").alias("s")), "s", "form", []).where(F.length("form") > 6)
+    table = forms.distinct().withColumn("lemma", F.substring("form", 1, 4))
+    return L.preprocess_text(t.texts, "doc_id", "text", lemmas=table)
+
+
+@register(
+    "l16_document_name",
+    r"""SELECT doc_id, regexp_replace(source || '-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END,
+    '\.txt$', '') AS name FROM documents""",
+)
+def _(t: Tables) -> DataFrame:
+    extension = F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")
+    file_name = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), extension)
+    return t.documents.select("doc_id", X.document_name(file_name).alias("name"))
 
 
 @register(

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
@@ -123,3 +124,16 @@ def test_row_wise_operators_accept_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     row = spark.table("cleaned").first()
     assert (row.clean, row.nb_words) == ("écoles ans", 4)
+
+
+def test_preprocess_with_and_without_lemmas(spark):
+    frame = spark.createDataFrame([(1, "Les Chevaux, et 12 chevaux couraient!"), (2, None), (3, "")], "id int, text string")
+    lemmas = spark.createDataFrame([("chevaux", "cheval"), ("couraient", "courir")], "form string, lemma string")
+
+    def texts(**options):
+        return {r.id: r.clean_text for r in L.preprocess_text(frame, "id", "text", **options).collect()}
+
+    assert texts(lemmas=lemmas) == {1: "cheval cheval courir", 2: "", 3: ""}
+    assert texts(use_lemma=False) == {1: "chevaux chevaux couraient", 2: "", 3: ""}
+    with pytest.raises(ValueError, match="lemma"):
+        texts()
