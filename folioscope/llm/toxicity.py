@@ -29,7 +29,9 @@ from folioscope.llm.language_id import BITS, CharModel, gram_counts, kneser_ney
 
 #: Labelled rows from which the classifier is fitted, at most about this number.
 LABELLED_ROWS = 40_000
-REMEMBERED = 100_000
+REMEMBERED = 300_000
+#: Restored words, and n-grams of the decoder, that it remembers: these are larger.
+RESTORED = 150_000
 #: Features that a task adds up before it passes them on.
 TALLIED = 200_000
 ORDER = 4
@@ -59,7 +61,7 @@ class Decoder:
         fresh = [g for g in grams if g not in self.known]
         if not fresh:
             return
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > RESTORED:
             self.known.clear()
             fresh = list(grams)
         codes = []
@@ -113,7 +115,7 @@ class Restorer(dict):
         self.decode = Decoder(model)
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) > REMEMBERED:
+        if len(self) > RESTORED:
             self.clear()
         found = self[token] = tuple(self.features(token))
         return found
