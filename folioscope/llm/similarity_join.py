@@ -3,13 +3,15 @@
 A document is the set of its runs of five words (words are what white space separates, unchanged; a text of one to
 four words is one run). Documents with the same set are one class from the start.
 
-* Forest: ``TREES`` sequences of min-hashes per class, each the path of the class in a prefix tree. Classes that share
-  a prefix are in the same node. The matched prefix starts at the full depth and is shortened, level by level, until
-  the probability that two sets at the threshold share a node of some tree reaches the target recall; classes alone in
-  their nodes at that depth have no partner and drop out.
-* Groups: the nodes' members form groups, the connected components of "shares a node". A class meets only the classes
-  of its group; each class is sent to its group once, or, where a group is too big for one task, to the pairs of its
-  blocks. Pairs are never emitted: a task counts them.
+* Forest: ``TREES`` sequences of ``DEPTH`` min-hashes per class, each the path of the class in a prefix tree. The trees
+  are sorted paths, cut into range shards, so that a node of any size is walked by many tasks. A class is matched at the
+  longest prefix that it shares with its neighbour in the order: the prefix is shortened level by level until it
+  matches, and the first class of a node goes on to shorter ones. The shortest prefix is the longest at which two sets
+  at the threshold share a node of some tree with the target recall; a class still alone there has no partner. Nodes
+  that two shards share are connected through the shards' outer nodes.
+* Groups: the connected components of these matches. A class meets only the classes of its group; each class is sent to
+  its group once, or, where a group is too big for one task, to the pairs of its blocks. Pairs are never emitted: a task
+  counts them. Texts without a partner are left behind by a bit map of fixed size before texts are exchanged.
 * Verification: exact Jaccard similarity of all pairs of a group, by products of incidence matrices.
 
 Result: every row with ``class_id`` (smallest id that a chain of links reaches), ``copy_id`` (smallest id with the
@@ -23,18 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Hashes, components, materialised, mixed, row_groups, row_key, windowed_hash
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES = 32
+TREES = 44
 DEPTH = 10
 TARGET = 0.9995
 #: Runs (8 bytes each) and classes that one task holds of one block.
 BLOCK_RUNS, BLOCK_CLASSES = 1_500_000, 1024
+#: Bits of a level's label below the shortest prefix, and of the number of bits in the map of texts with a partner.
+LABEL_BITS, MAP_BITS = 8, 24
 
 
 def shingles(text: str | None, hashes: Hashes, width: int = SHINGLE) -> np.ndarray:
@@ -61,9 +65,9 @@ def minhashes(runs: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signatures(rows: DataFrame, text: str, trees: int, depth: int) -> DataFrame:
-    """``doc, row, set_a, set_b, size, prefixes`` of ``rows (doc, row, content)``: a hash of the set in two halves and
-    one key per tree."""
+def signatures(rows: DataFrame, text: str, trees: int, depth: int, shortest: int) -> DataFrame:
+    """``doc, row, set_a, set_b, size, nodes, labels`` of ``rows (doc, row, content)``: a hash of the set in two halves
+    and, per tree, the node at the shortest prefix and the labels of the levels below it, in the order of the levels."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -73,6 +77,7 @@ def signatures(rows: DataFrame, text: str, trees: int, depth: int) -> DataFrame:
                 sets = [shingles(t, hashes) for t in some.column(2).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list[list[int]] = [[] for _ in sets]
+                labels: list[list[int]] = [[] for _ in sets]
                 ends = np.zeros((len(sets), 2), np.int64)
                 if full:
                     runs = np.concatenate([sets[i] for i in full])
@@ -80,19 +85,96 @@ def signatures(rows: DataFrame, text: str, trees: int, depth: int) -> DataFrame:
                     offsets = np.cumsum(sizes) - sizes
                     least = minhashes(runs, offsets, trees * depth).reshape(len(full), trees, depth)
                     paths = np.zeros((len(full), trees), np.uint64) + np.arange(trees, dtype=np.uint64)
-                    for d in range(depth):
+                    for d in range(shortest):
                         paths = mixed(paths * np.uint64(3) + least[:, :, d])
+                    below = np.zeros((len(full), trees), np.int32)
+                    for d in range(shortest, depth):
+                        label = mixed(least[:, :, d]) & np.uint64((1 << LABEL_BITS) - 1)
+                        below = (below << LABEL_BITS) | label.astype(np.int32)
                     digest = np.column_stack([np.add.reduceat(mixed(runs + np.uint64(j)), offsets) for j in (1, 2)]).view(np.int64)
                     for k, i in enumerate(full):
                         keys[i] = paths[k].view(np.int64).tolist()
+                        labels[i] = below[k].tolist()
                         ends[i] = digest[k]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array(ends[:, 0]), pa.array(ends[:, 1]),
-                     pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc", "row", "set_a", "set_b", "size", "prefixes"],
+                     pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())),
+                     pa.array(labels, pa.list_(pa.int32()))],
+                    names=["doc", "row", "set_a", "set_b", "size", "nodes", "labels"],
                 )
 
-    return rows.mapInArrow(sign, "doc long, row long, set_a long, set_b long, size int, prefixes array<long>")
+    return rows.mapInArrow(sign, "doc long, row long, set_a long, set_b long, size int, nodes array<long>, labels array<int>")
+
+
+def walked(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
+    """Walk one shard of the sorted trees, rows ``(tree, path, labels, node)``: ``a, b, tree, path``.
+
+    Each class is matched with the first class of the longest prefix that it shares with the class before it. The first
+    and the last node of the shard are reported with their first class as ``a`` and no ``b``. Holds one batch.
+    """
+    last: tuple | None = None
+    firsts = np.zeros(levels + 1, np.int64)
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        tree, path, labels, node = (batch.column(i).to_numpy() for i in range(4))
+        if last is None:
+            yield matches([int(node[0])], [None], [int(tree[0])], [int(path[0])])
+        held = last if last is not None else (-1, 0, 0, 0)
+        tree, path, labels, node = (np.concatenate([[h], c]) for h, c in zip(held, (tree, path, labels, node), strict=True))
+        shared = np.full(n + 1, -1)
+        same = np.zeros(n + 1, bool)
+        same[1:] = (tree[1:] == tree[:-1]) & (path[1:] == path[:-1])
+        for level in range(levels + 1):
+            rest = LABEL_BITS * (levels - level)
+            alike = same.copy()
+            alike[1:] &= (labels[1:] >> rest) == (labels[:-1] >> rest)
+            shared[alike] = level
+        places, a = np.arange(n + 1), np.zeros(n + 1, np.int64)
+        for level in range(levels + 1):
+            begin = np.maximum.accumulate(np.where(shared < level, places, 0))
+            first = np.where(begin == 0, firsts[level], node[begin])
+            a = np.where(shared == level, first, a)
+            firsts[level] = first[-1]
+        kept = np.flatnonzero((shared >= 0) & (a != node))
+        yield matches(a[kept], node[kept], np.zeros(len(kept)), np.zeros(len(kept)))
+        last = tuple(int(c[-1]) for c in (tree, path, labels, node))
+    if last is not None:
+        yield matches([int(firsts[0])], [None], [last[0]], [last[1]])
+
+
+def matches(a: list, b: list, tree: list, path: list) -> pa.RecordBatch:
+    arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.asarray(tree, np.int32)), pa.array(np.asarray(path, np.int64))]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "tree", "path"])
+
+
+def forest_matches(classes: DataFrame, levels: int) -> DataFrame:
+    """``a, b``: classes that share a node; those of one node are connected by such pairs, fewer than its classes."""
+    paths = classes.select("node", F.posexplode(F.arrays_zip("nodes", "labels")).alias("tree", "at")).select(
+        "tree", F.col("at.nodes").alias("path"), F.col("at.labels").alias("labels"), "node"
+    )
+    order = ["tree", "path", "labels", "node"]
+    shards = paths.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialised(shards.mapInArrow(lambda batches: walked(batches, levels), "a long, b long, tree int, path long"), "jaccard_trees")
+    outer = found.where(F.col("b").isNull()).select(F.min("a").over(Window.partitionBy("tree", "path")).alias("a"), F.col("a").alias("b"))
+    return found.where(F.col("b").isNotNull()).select("a", "b").unionByName(outer.where("a <> b")).distinct()
+
+
+def with_partner(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` are not in ``wanted``; none that is there is lost.
+
+    A bit map of 2^MAP_BITS bits, in 2^(MAP_BITS - 6) rows at most, is broadcast. A full map lets every row pass.
+    """
+    spot = F.xxhash64(*keys, F.lit(6))
+    word = F.shiftright(spot, 6).bitwiseAND(F.lit((1 << (MAP_BITS - 6)) - 1))
+    bits = wanted.select(word.alias("map_word"), one_bit(spot).alias("bit")).groupBy("map_word").agg(F.bit_or("bit").alias("map_bits"))
+    marked = rows.withColumn("map_word", word).join(F.broadcast(bits), "map_word")
+    return marked.where(F.col("map_bits").bitwiseAND(one_bit(spot)) != 0).select(*rows.columns)
+
+
+def one_bit(spot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -159,25 +241,24 @@ def classed_rows(
     trees: int = TREES, depth: int = DEPTH,
 ) -> DataFrame:
     """The same with ``row`` and ``class_row``, the row keys of the text and of the first text of its class."""
-    depth = matched_depth(trees, depth, threshold, target)
+    shortest = matched_depth(trees, depth, threshold, target)
+    levels = min(depth - shortest, 31 // LABEL_BITS)
     rows = docs.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("doc"), row_key(text).alias("row"), F.col(text).alias("content")
     )
-    signed = materialised(signatures(rows, text, trees, depth), "jaccard_signatures")
+    signed = materialised(signatures(rows, text, trees, shortest + levels, shortest), "jaccard_signatures")
     own_set = ["set_a", "set_b", "size"]
     full = signed.where(F.col("size") > 0)
     classes = full.groupBy(*own_set).agg(
-        F.min(F.struct("doc", "row")).alias("first"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes")
+        F.min(F.struct("doc", "row")).alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"),
+        F.first("labels").alias("labels"),
     )
     classes = classes.select(
-        F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), *own_set, "copies", "prefixes"
+        F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), *own_set, "copies", "nodes", "labels"
     ).withColumn("node", F.xxhash64(*own_set))
     classes = materialised(classes, "jaccard_classes")
 
-    paths = classes.select("node", F.posexplode("prefixes").alias("tree", "path"))
-    shared = paths.groupBy("tree", "path").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
-    edges = paths.join(shared, ["tree", "path"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
-    groups = components(edges, "jaccard_groups")
+    groups = components(forest_matches(classes, levels), "jaccard_groups")
     members = groups.join(classes.select("node", "doc", "row", "size", "copies"), "node")
     members = materialised(members, "jaccard_members")
     sums = members.groupBy("root").agg(F.sum("size").alias("runs"), F.count("*").alias("n"))
@@ -187,7 +268,7 @@ def classed_rows(
     )
     # A block meets itself and every other block of its group: as (lower, upper).
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = rows.join(placed, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("root", "node", "block", "blocks", "copies", "content")
+    sent = with_partner(rows, members, "doc", "row").join(placed, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("root", "node", "block", "blocks", "copies", "content")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
