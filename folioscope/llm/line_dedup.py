@@ -1,14 +1,17 @@
 """Operator 10: line dedup by pairwise alignment.
 
 Lines are compared without surrounding blanks; a document is the sequence of hashes of its lines. Documents are paired
-through lines they share: every holder of a line with the first document that holds it and, where the line is rare
-(at most ``RARE`` holders), with the holder before it. The number of pairs is thus at most twice the number of lines,
-however large a group of copies is, and frequent lines still lead to their first holder, so no group is skipped. A
-pair whose shared lines lead to it with too few characters for a block is left out.
+through runs of lines: for each line, the shortest run from it on and the shortest run up to it that have ``MIN_CHARS``
+characters. Two documents with a common block of that size hold the same such runs, and these cover the whole block,
+however frequent its lines are. All holders of a run are sorted by document, in range shards, so that a run that a
+third of all documents hold is walked by many tasks; each holder is paired with the first holder of its shard and with
+the holder before it, and a shard's first holder with one of the shard before. So no run is skipped, a document has an
+earlier partner for each run that an earlier document holds, and there are at most two pairs for each run it holds.
 
 Each pair is aligned with patience diff: common ends, then lines that are unique in both, in their longest increasing
 sequence, and the gaps between them in turn. A block of consecutive aligned lines with ``MIN_CHARS`` characters or more
-is deleted from the later document, the one with the larger id. All decisions are made on the input.
+is deleted from the later document, the one with the larger id. All decisions are made on the input. A run that the
+alignment with both partners leaves out, because it stands in another order there, stays.
 
 Rows: a null or empty text has no lines and stays; rows without an id take no part and stay; rows with the same id and
 text are one document, with the same id and other texts they are no copies of each other. A text loses whole lines.
@@ -19,13 +22,13 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialised, row_key
+from folioscope.llm.common import BASES, materialised, mixed, powers, row_key
 
-RARE = 16
 MIN_CHARS = 50
 
 
@@ -114,32 +117,106 @@ def line_hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def partners(table: DataFrame, rare: int, min_chars: int) -> DataFrame:
+def run_hashes(hashes: np.ndarray, sizes: np.ndarray, ends: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first line and hash of every shortest run; ``ends`` is where each line's document ends."""
+    n = len(hashes)
+    chars = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    least = max(min_chars, 1)
+    begins = np.zeros(n, np.int64)
+    if n:
+        new = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+        begins = np.repeat(new, np.diff(np.append(new, n)))
+    places = np.arange(n)
+    onward = np.searchsorted(chars, chars[:-1] + least, "left")
+    back = np.searchsorted(chars, chars[1:] - least, "right") - 1
+    first = np.concatenate([places[onward <= ends], back[back >= begins]])
+    stop = np.concatenate([onward[onward <= ends], places[back >= begins] + 1])
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(hashes) * powers(BASES[0], n), out=total[1:])
+    inverse = powers(pow(BASES[0], -1, 1 << 64), n + 1)
+    return first, mixed((total[stop] - total[first]) * inverse[first] + (stop - first).astype(np.uint64))
+
+
+def runs_of(table: DataFrame, min_chars: int) -> DataFrame:
+    """``run, doc, row`` of ``table (doc, row, hashes, sizes)``: the shortest runs of each document."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            counts = batch.column(2).value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(doc)), counts)
+            hashes = batch.column(2).flatten().to_numpy().view(np.uint64)
+            first, runs = run_hashes(hashes, batch.column(3).flatten().to_numpy(), np.cumsum(counts)[owner], min_chars)
+            order = np.lexsort((runs, owner[first]))
+            runs, holder = runs[order], owner[first][order]
+            kept = np.ones(len(runs), bool)
+            kept[1:] = (runs[1:] != runs[:-1]) | (holder[1:] != holder[:-1])
+            runs, at = runs[kept].view(np.int64), holder[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(doc[at]), pa.array(row[at])], names=["run", "doc", "row"])
+
+    return table.select("doc", "row", "hashes", "sizes").mapInArrow(cut, "run long, doc long, row long")
+
+
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``run, doc, row, other, other_row`` of one shard of the sorted holders ``(run, doc, row)``.
+
+    Each holder with the first holder of its run and with the last one of a smaller id. The holders with the shard's
+    first run and id, and its last row, are reported without ``other``. Keeps one batch and three rows.
+    """
+    carried = np.zeros((3, 0), np.int64)
+    outer = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        if outer is None:
+            outer = rows[:2, 0]
+        edge = rows[:, (rows[0] == outer[0]) & (rows[1] == outer[1])]
+        held = carried.shape[1]
+        rows = np.concatenate([carried, rows], axis=1)
+        n = rows.shape[1]
+        run, doc = rows[0], rows[1]
+        new_run, new_doc = np.ones(n, bool), np.ones(n, bool)
+        new_run[1:] = run[1:] != run[:-1]
+        new_doc[1:] = new_run[1:] | (doc[1:] != doc[:-1])
+        places = np.arange(n)
+        first = np.maximum.accumulate(np.where(new_run, places, 0))
+        own = np.maximum.accumulate(np.where(new_doc, places, 0))
+        later = np.flatnonzero((own > first) & (places >= held))
+        yield pair_batch(np.concatenate([rows[:, later]] * 2, axis=1), np.concatenate([rows[1:, first[later]], rows[1:, own[later] - 1]], axis=1))
+        if edge.shape[1]:
+            yield pair_batch(edge, None)
+        # The first holder, the last of a smaller id, and one of the last id.
+        carried = rows[:, sorted({int(first[-1]), max(int(own[-1]) - 1, int(first[-1])), n - 1})]
+    if outer is not None:
+        yield pair_batch(carried[:, -1:], None)
+
+
+def pair_batch(rows: np.ndarray, others: np.ndarray | None) -> pa.RecordBatch:
+    arrays = [pa.array(c) for c in rows]
+    arrays += [pa.array(c) for c in others] if others is not None else [pa.nulls(rows.shape[1], pa.int64())] * 2
+    return pa.RecordBatch.from_arrays(arrays, names=["run", "doc", "row", "other", "other_row"])
+
+
+def partners(table: DataFrame, min_chars: int) -> DataFrame:
     """``doc, row, other, other_row``: the earlier documents that each document is aligned with."""
-    lines = table.select("doc", "row", F.explode(F.arrays_zip("hashes", "sizes")).alias("line")).select(
-        F.col("line.hashes").alias("hash"), F.col("line.sizes").alias("size"), "doc", "row"
-    ).distinct()
-    holders = lines.groupBy("hash").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc", "row")).alias("first"), F.max("doc").alias("last")
-    ).where(F.col("last") > F.col("first.doc"))
-    held = lines.join(holders, "hash").where(F.col("doc") > F.col("first.doc"))
-    by_first = held.select("doc", "row", F.col("first.doc").alias("other"), F.col("first.row").alias("other_row"), "hash", "size")
-    before = Window.partitionBy("hash").orderBy("doc", "row")
-    chain = lines.join(holders.where(F.col("n") <= rare), "hash").withColumn("before", F.lag(F.struct("doc", "row")).over(before))
-    by_chain = chain.where(F.col("doc") > F.col("before.doc")).select(
-        "doc", "row", F.col("before.doc").alias("other"), F.col("before.row").alias("other_row"), "hash", "size"
+    order = ["run", "doc", "row"]
+    shards = runs_of(table, min_chars).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialised(shards.mapInArrow(paired, "run long, doc long, row long, other long, other_row long"), "line_pairs")
+    before = Window.partitionBy("run").orderBy("doc").rangeBetween(Window.unboundedPreceding, -1)
+    outer = found.where(F.col("other").isNull()).withColumn("before", F.max(F.struct("doc", "row")).over(before))
+    outer = outer.where(F.col("before").isNotNull()).select(
+        "doc", "row", F.col("before.doc").alias("other"), F.col("before.row").alias("other_row")
     )
-    both = by_first.unionByName(by_chain).groupBy("doc", "row", "other", "other_row", "hash").agg(F.max("size").alias("size"))
-    weight = both.groupBy("doc", "row", "other", "other_row").agg(F.sum("size").alias("chars"))
-    return weight.where(F.col("chars") >= min_chars).drop("chars")
+    return found.where(F.col("other").isNotNull()).select(*outer.columns).unionByName(outer).distinct()
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = RARE, min_chars: int = MIN_CHARS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS
 ) -> DataFrame:
     """``docs`` with ``text`` without the lines deleted, and ``n_lines, n_removed`` (lines that are not blank)."""
     table = materialised(line_hashes(docs, key, text).dropDuplicates(["doc", "row"]), "lines")
-    pairs = partners(table, rare, min_chars)
+    pairs = partners(table, min_chars)
     other = table.select(F.col("doc").alias("other"), F.col("row").alias("other_row"), F.col("hashes").alias("other_hashes"))
     joined = pairs.join(other, ["other", "other_row"]).join(table, ["doc", "row"])
 
