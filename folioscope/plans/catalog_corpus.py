@@ -10,6 +10,7 @@ from folioscope.operators import labels as L
 from folioscope.plans.corpus import unified_corpus, unmatched_keys
 from folioscope.plans.registry import Tables, register
 from folioscope.session import scratch_path
+from folioscope.sources.csv_records import csv_table
 from folioscope.sources.files import head, metadata_csv, preview, text_folder
 
 # A metadata table from the given ones: the first round is quality = 1, the label is the language.
@@ -58,6 +59,21 @@ def _(t: Tables) -> DataFrame:
     return L.keep_round(scanned).where(F.col("support") != "")
 
 
+@register(
+    "s1_csv_split_scan",
+    f"""SELECT doc_id::VARCHAR AS id, round::INT AS round, nullif(support, '') AS support, nullif(text, '') AS note
+    FROM ({METADATA_SQL}) JOIN (SELECT doc_id, text FROM documents) USING (doc_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    # Whole texts, with their line breaks and quotes, as one column of the file.
+    path = scratch_path(t.spark, "notes-csv")
+    source = metadata(t).join(t.documents.select("doc_id", F.col("text").alias("note")), "doc_id")
+    source = source.select(F.col("doc_id").alias("id"), F.col("note"), F.col("round").alias("contexte-tour"), "support")
+    source.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    names = {"id": "id", "contexte-tour": "round", "support": "support", "note": "note"}
+    return csv_table(t.spark, path, names, {"round": "int"})
+
+
 @register("s2_text_folder", "SELECT item_id, text FROM benchmark")
 def _(t: Tables) -> DataFrame:
     # One file per text, as the source format has it, from the table of short texts.
