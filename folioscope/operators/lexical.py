@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import clean_tokens, lexical_tokens, ratio, sentence_count
 from folioscope.operators.arrays import unnest, with_term_counts
-from folioscope.session import MAX_BROADCAST_ROWS, fits_broadcast, materialised, measured_broadcast
+from folioscope.session import MAX_BROADCAST_ROWS, materialised
 
 METRICS = ["nb_words", "nb_sentences", "words_per_sentence", "vocab_size_doc", "ttr", "hapax_ratio"]
 
-#: A word is hot if it is in at least one document for every ``HOT`` that hold the most frequent word.
-HOT = 1000
+#: Longer words, in bytes, are never part of a shared dictionary.
+LONGEST = 128
 
 
 def lexical_metrics(df: DataFrame, text_col: str, keep_tokens: bool = False) -> DataFrame:
@@ -86,33 +89,56 @@ def class_terms(df: DataFrame, label: str, tokens_col: str, k: int) -> DataFrame
     return top.withColumn("rel_freq", ratio(F.col("n"), F.max("n").over(Window.partitionBy(label))))
 
 
+def with_words_replaced(
+    df: DataFrame, id_col: str, tokens_col: str, table: DataFrame, out_col: str, keep_unknown: bool, max_rows: int
+) -> DataFrame:
+    """``(id, out_col)``, one row per row of ``df``: tokens replaced by a table ``(word, value, n_docs)``, in place.
+
+    The ``max_rows`` most frequent words, nearly all of the tokens, are one shared dictionary; they are looked up inside
+    the row. Only if the table has more words, the distinct other words of each document are joined with it, where no
+    word is frequent, and what is found comes back to the document by its key: tokens are never exchanged one by one.
+    """
+    spark = df.sparkSession
+    table = materialised(table.select("word", "value", "n_docs"), "words")
+    frequent = table.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n_docs"), "word").limit(max_rows)
+    known = spark.sparkContext.broadcast({r.word: r.value for r in frequent.collect()})
+
+    @F.pandas_udf("array<string>")
+    def others(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ts: [] if ts is None else sorted({t for t in ts if t not in known.value}))
+
+    @F.pandas_udf("array<string>")
+    def replaced(tokens: pd.Series, words: pd.Series, values: pd.Series) -> pd.Series:
+        def of_row(ts, ws, vs):
+            found = known.value if ws is None or not len(ws) else ChainMap(dict(zip(ws, vs)), known.value)
+            if ts is None:
+                return []
+            return [found.get(t, t) for t in ts] if keep_unknown else [found[t] for t in ts if t in found]
+
+        return pd.Series([of_row(*row) for row in zip(tokens, words, values)], dtype=object)
+
+    nothing = F.array().cast("array<string>")
+    docs = df.select(id_col, tokens_col)
+    if table.count() == len(known.value):
+        return docs.select(id_col, replaced(tokens_col, nothing, nothing).alias(out_col))
+    open_words = unnest(docs.select(id_col, others(tokens_col).alias("_open")), "_open", "word", [id_col])
+    found = open_words.join(table.select("word", "value"), "word").groupBy(id_col).agg(
+        F.collect_set(F.struct("word", "value")).alias("_found")
+    )
+    return docs.join(found, id_col, "left").select(
+        id_col, replaced(tokens_col, F.col("_found.word"), F.col("_found.value")).alias(out_col)
+    )
+
+
 def keep_vocabulary(
     df: DataFrame, id_col: str, tokens_col: str, vocabulary: DataFrame, out_col: str, max_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """``(id, out_col)``: each document's tokens that are in ``vocabulary (term, n_docs)``; order and repeats kept.
 
-    The vocabulary is written once. If it passes the size check it is broadcast and only the regrouping by document
-    shuffles. A larger one is cut in two by the share of documents: words at least ``1 / HOT`` as frequent as the most
-    frequent one, nearly all of the tokens, go through the size check on their own, and only the tokens they leave
-    open are joined by word, where no word is frequent. Documents that lose every word stay, empty.
+    Documents that lose every word stay, empty.
     """
-    placed = F.transform(tokens_col, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    long = df.select(id_col, F.explode_outer(placed).alias("w")).select(id_col, "w.term", "w.pos")
-    words = materialised(vocabulary.select("term", "n_docs"), "vocabulary")
-    known = F.lit(True).alias("_known")
-    if fits_broadcast(words, max_rows):
-        marked = long.join(F.broadcast(words.select("term", known)), "term", "left")
-    else:
-        most = words.agg(F.max("n_docs")).first()[0]
-        hot = F.col("n_docs") * HOT >= most
-        marked = long.join(measured_broadcast(words.where(hot).select("term", known), max_rows), "term", "left")
-        open_tokens = F.col("_known").isNull() & F.col("pos").isNotNull()
-        tail = marked.where(open_tokens).drop("_known").join(words.where(~hot).select("term", known), "term", "left")
-        marked = marked.where(~open_tokens).unionByName(tail)
-    pieces = F.collect_list(F.when(F.col("_known"), F.struct("pos", "term")))
-    return marked.groupBy(id_col).agg(F.sort_array(pieces).alias("_kept")).select(
-        id_col, F.col("_kept.term").alias(out_col)
-    )
+    table = vocabulary.select(F.col("term").alias("word"), F.col("term").alias("value"), "n_docs")
+    return with_words_replaced(df, id_col, tokens_col, table, out_col, False, max_rows)
 
 
 def filter_rare_words(
@@ -123,17 +149,23 @@ def filter_rare_words(
     return keep_vocabulary(df, id_col, tokens_col, frequent, out_col)
 
 
-def lemmatise(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame, out_col: str = "lemmas") -> DataFrame:
-    """``(id, out_col)``: tokens replaced by their lemma from a table ``(form, lemma)``; unknown forms stay."""
-    placed = F.transform(tokens_col, lambda t, i: F.struct(t.alias("form"), i.alias("pos")))
-    long = df.select(id_col, F.explode_outer(placed).alias("w")).select(id_col, "w.form", "w.pos")
-    named = long.join(measured_broadcast(lemmas.select("form", "lemma")), "form", "left")
-    pieces = F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("lemma", "form").alias("term")))
-    )
-    return named.groupBy(id_col).agg(F.sort_array(pieces).alias("_kept")).select(
-        id_col, F.col("_kept.term").alias(out_col)
-    )
+def lemmatise(
+    df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame, out_col: str = "lemmas",
+    max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """``(id, out_col)``: tokens replaced by their lemma from a table ``(form, lemma)``; unknown forms stay.
+
+    Of several lemmas of a form the first by name counts; a null lemma leaves the form. Of a table with more than
+    ``max_rows`` forms, those that no document uses are left out and the others ordered by document frequency.
+    """
+    known = F.col("form").isNotNull() & F.col("lemma").isNotNull()
+    table = lemmas.where(known).groupBy(F.col("form").alias("word")).agg(F.min("lemma").alias("value"))
+    table = materialised(table, "lemmas")
+    if table.count() <= max_rows:
+        table = table.withColumn("n_docs", F.lit(1))
+    else:
+        table = table.join(document_frequency(df, tokens_col).withColumnRenamed("term", "word"), "word")
+    return with_words_replaced(df, id_col, tokens_col, table, out_col, True, max_rows)
 
 
 def preprocess_text(

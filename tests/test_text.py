@@ -116,6 +116,27 @@ def test_lemmas_replace_known_forms(spark):
     }
 
 
+def test_large_lemma_table_and_long_words(spark):
+    long = "é" * 200
+    docs = [(1, ["vont", "ils", "vont", long]), (2, []), (3, None), (4, [long, "sont", "rien"]), (4, ["vont"])]
+    frame = spark.createDataFrame(docs, "id int, tokens array<string>")
+    table = spark.createDataFrame(
+        [("vont", "aller"), ("sont", "etre"), ("sont", "zzz"), (long, "long"), ("rare", "x"), ("ils", None), (None, "y")],
+        "form string, lemma string",
+    )
+    expected = [(1, ["aller", "ils", "aller", "long"]), (2, []), (3, []), (4, ["aller"]), (4, ["long", "etre", "rien"])]
+    for bound in (1, 2, 100):
+        found = L.lemmatise(frame, "id", "tokens", table, max_rows=bound)
+        assert sorted((r.id, r.lemmas) for r in found.collect()) == expected
+
+
+def test_word_filters_exchange_no_token_of_the_dictionary(spark):
+    frame = spark.createDataFrame([(i, ["cinq", "six"]) for i in range(8)], "id int, tokens array<string>")
+    vocabulary = spark.createDataFrame([("cinq", 8)], "term string, n_docs int")
+    plan = L.keep_vocabulary(frame, "id", "tokens", vocabulary, "kept")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
 def test_row_wise_operators_accept_a_stream(spark, tmp_path):
     spark.createDataFrame([(1, "Les écoles, 12 ans")], "id int, t string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id int, t string").parquet(str(tmp_path / "in"))
