@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import ratio
 from folioscope.operators.quantiles import group_quantiles
 from folioscope.operators.vectorize import postings, vector_entries
-from folioscope.session import MAX_BROADCAST_BYTES, class_list, measured_broadcast
+from folioscope.session import MAX_BROADCAST_BYTES, materialised, measured_broadcast
+
+#: Classes and features of a dense block in the product of classes: about 2 x 512 x 4096 doubles in a task.
+CLASS_BLOCK, FEATURE_BLOCK = 512, 4096
 
 
 def dense_rows(long: DataFrame, key: str, size: int, value: str = "w") -> DataFrame:
@@ -155,26 +158,72 @@ def intra_class_distance(df: DataFrame, label: str, vector_col: str) -> DataFram
     )
 
 
+def class_products(coefficients: DataFrame, n_classes: int, n_features: int) -> DataFrame:
+    """``(class_a, class_b, dot)`` for every ordered pair of classes, by products of dense blocks.
+
+    Features and classes are dealt to blocks by hash. A task multiplies one block of features for two blocks of
+    classes, so a coefficient is sent once per block of classes and a task holds matrices of bounded size; it emits
+    products of classes, never of features. Every class has a zero in the first block of features, so that pairs
+    without a common feature are there too.
+    """
+    class_blocks, feature_blocks = -(-n_classes // CLASS_BLOCK), -(-n_features // FEATURE_BLOCK)
+    anchors = coefficients.select("class").distinct().select("class", F.lit(None).cast("string").alias("feature"), F.lit(0.0).alias("coef"))
+    rows = coefficients.select("class", F.col("feature").cast("string").alias("feature"), F.col("coef").cast("double").alias("coef"))
+    rows = rows.unionByName(anchors)
+    of_feature = F.when(F.col("feature").isNull(), 0).otherwise(F.pmod(F.xxhash64("feature"), F.lit(feature_blocks)))
+    rows = rows.withColumn("block", of_feature.cast("long")).withColumn(
+        "own", F.pmod(F.xxhash64("class"), F.lit(class_blocks))
+    )
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(class_blocks - 1).cast("long")),
+        lambda other: F.struct(F.least("own", other).alias("a"), F.greatest("own", other).alias("b")),
+    )
+    sent = rows.select("class", "feature", "coef", "block", "own", F.explode(pairs).alias("p")).select(
+        "class", "feature", "coef", "block", "own", "p.a", "p.b"
+    )
+
+    def multiplied(part: pd.DataFrame) -> pd.DataFrame:
+        column, features = pd.factorize(part["feature"], use_na_sentinel=False)
+        row, classes = pd.factorize(part["class"])
+        dense = np.zeros((len(classes), len(features)))
+        np.add.at(dense, (row, column), part["coef"].to_numpy())
+        block = np.zeros(len(classes), dtype="int64")
+        block[row] = part["own"].to_numpy()
+        left, right = np.flatnonzero(block == part["a"].iloc[0]), np.flatnonzero(block == part["b"].iloc[0])
+        dots = dense[left] @ dense[right].T
+        names = classes.to_numpy() if hasattr(classes, "to_numpy") else np.asarray(classes)
+        return pd.DataFrame(
+            {
+                "class_a": np.repeat(names[left], len(right)), "class_b": np.tile(names[right], len(left)),
+                "dot": dots.ravel(), "mirror": bool(part["a"].iloc[0] != part["b"].iloc[0]),
+            }
+        )
+
+    kind = coefficients.schema["class"].dataType.simpleString()
+    parts = sent.groupBy("block", "a", "b").applyInPandas(
+        multiplied, f"class_a {kind}, class_b {kind}, dot double, mirror boolean"
+    )
+    one_way = parts.groupBy("class_a", "class_b", "mirror").agg(F.sum("dot").alias("dot"))
+    both = F.when(
+        F.col("mirror"), F.array(F.struct("class_a", "class_b"), F.struct(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
+    ).otherwise(F.array(F.struct("class_a", "class_b")))
+    return one_way.select(F.explode(both).alias("p"), "dot").select("p.class_a", "p.class_b", "dot")
+
+
 def class_pair_distance(coefficients: DataFrame) -> DataFrame:
     """``(class_a, class_b, dist)`` for every ordered pair of classes, from ``(class, feature, coef)``.
 
-    The result itself is one row per pair of classes; the class list is bounded, the features are not paired.
+    The result itself is one row per pair of classes. Rows without a class are left out; a class without a non-zero
+    coefficient is at distance 1 from the others and 0 from itself.
     """
-    classes = class_list(coefficients, "class")
-    norms = coefficients.groupBy("class").agg(F.sqrt(F.sum(F.col("coef") * F.col("coef"))).alias("norm"))
-    left = coefficients.select("feature", F.col("class").alias("class_a"), F.col("coef").alias("coef_a"))
-    right = coefficients.select("feature", F.col("class").alias("class_b"), F.col("coef").alias("coef_b"))
-    products = (
-        left.join(right, "feature")
-        .groupBy("class_a", "class_b")
-        .agg(F.sum(F.col("coef_a") * F.col("coef_b")).alias("dot"))
+    known = materialised(coefficients.where(F.col("class").isNotNull()).select("class", "feature", "coef"), "coefficients")
+    size = known.agg(F.count_distinct("class"), F.count_distinct("feature")).first()
+    products = class_products(known, max(size[0], 1), max(size[1], 1))
+    norms = known.groupBy("class").agg(F.sqrt(F.sum(F.col("coef") * F.col("coef"))).alias("norm"))
+    norms = measured_broadcast(norms)
+    full = products.join(norms.withColumnsRenamed({"class": "class_a", "norm": "norm_a"}), "class_a").join(
+        norms.withColumnsRenamed({"class": "class_b", "norm": "norm_b"}), "class_b"
     )
-    pairs = norms.select(
-        F.col("class").alias("class_a"),
-        F.col("norm").alias("norm_a"),
-        F.explode(F.array(*[F.lit(c) for c in classes])).alias("class_b"),
-    ).join(norms.select(F.col("class").alias("class_b"), F.col("norm").alias("norm_b")), "class_b")
-    full = pairs.join(products, ["class_a", "class_b"], "left")
     cosine = F.coalesce(ratio(F.col("dot"), F.col("norm_a") * F.col("norm_b")), F.lit(0.0))
     distance = F.when(F.col("class_a") == F.col("class_b"), F.lit(0.0)).otherwise(1 - cosine)
     return full.select("class_a", "class_b", distance.alias("dist"))

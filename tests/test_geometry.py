@@ -75,6 +75,37 @@ def test_group_quantiles_are_exact_under_skew_and_ties(spark, monkeypatch, broad
         np.testing.assert_allclose(out[g][1], np.quantile(vs, shares))
 
 
+@pytest.mark.parametrize("ranked", [1, 3, 40])
+def test_quantiles_by_repeated_narrowing(spark, monkeypatch, ranked):
+    monkeypatch.setattr(QN, "PIECES", 4)
+    rng = np.random.default_rng(3)
+    values = {"hot": rng.normal(size=3000), "ties": np.round(rng.normal(size=800), 1), "one": np.array([2.0])}
+    frame = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "g string, x double")
+    shares = [0.0, 0.25, 0.5, 0.999]
+    out = {r.g: r.q for r in QN.group_quantiles(frame, "g", "x", shares, ranked=ranked).collect()}
+    for g, vs in values.items():
+        np.testing.assert_allclose(out[g], np.quantile(vs, shares))
+
+
+@pytest.mark.parametrize("blocks", [(2, 3), (512, 4096)])
+def test_class_pairs_equal_the_dense_product(spark, monkeypatch, blocks):
+    monkeypatch.setattr(D, "CLASS_BLOCK", blocks[0])
+    monkeypatch.setattr(D, "FEATURE_BLOCK", blocks[1])
+    rng = np.random.default_rng(5)
+    dense = rng.normal(size=(7, 20)) * (rng.random((7, 20)) < 0.4)
+    dense[5], dense[6, :], dense[6, 19], dense[:5, 19] = 0.0, 0.0, 2.0, 0.0  # a zero class, one that shares nothing
+    rows = [(f"c{i}", f"f{j}", float(dense[i, j])) for i in range(7) for j in range(20) if dense[i, j] or i == 5]
+    frame = spark.createDataFrame(rows + [(None, "f1", 9.0)], "class string, feature string, coef double")
+    found = {(r.class_a, r.class_b): r.dist for r in D.class_pair_distance(frame).collect()}
+    assert len(found) == 49
+    for i in range(7):
+        for j in range(7):
+            size = np.linalg.norm(dense[i]) * np.linalg.norm(dense[j])
+            expected = 0.0 if i == j else 1 - (dense[i] @ dense[j] / size if size else 0.0)
+            assert found[(f"c{i}", f"c{j}")] == pytest.approx(expected, abs=1e-12)
+    assert D.class_pair_distance(frame.where("false")).count() == 0
+
+
 def test_box_plot(spark):
     rows = [("a", float(v)) for v in [1, 2, 3, 4, 5, 100, -50]]
     box = D.box_plot(spark.createDataFrame(rows, "g string, x double"), "g", "x").first()
