@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from folioscope.llm import html_extraction as H
 from folioscope.llm.html_extraction import content_paths, folded, main_texts, slots, stream
 from folioscope.llm.neighbours import nearest_neighbours
 
@@ -75,3 +76,48 @@ def test_rows_that_share_an_id_and_other_lengths(spark):
             scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(sound) if a != b)
             expected += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
     assert found == sorted(expected)
+
+
+def soup(i, body, extra=""):
+    """A page whose furniture no element or name gives away."""
+    return (f'<html><body><div id="p{i}" class="c{i}"><div>Our shop</div><div>Call us</div>{extra}<div>{body}</div>'
+            f'<div>All rights reserved</div></div></body></html>')
+
+
+def brute_force_template(pages):
+    """Texts at a path that every page with the path has, over all pages at once."""
+    by_path = {}
+    for found in {tuple(slots(p)) for p in pages}:
+        for path in {p for p, _ in found}:
+            by_path.setdefault(path, []).append({t for q, t in found if q == path})
+    return {p: set.intersection(*held) for p, held in by_path.items() if len(held) >= H.TEMPLATE_PAGES}
+
+
+def test_wrapper_finds_the_template_that_rules_miss(spark):
+    bodies = {i: f"<p>Story {i}</p><p>It was {'very ' * (i % 5)}long</p><p>{'Same end' if i % 2 else 'Other'}</p>" for i in range(70)}
+    pages = {i: soup(i, b, "<ul><li>Only here</li></ul>" if i == 3 else "") for i, b in bodies.items()}
+    rows = [(i, "https://s.org/" + str(i), h) for i, h in pages.items()] + [(100 + i, "https://s.org/c", pages[0]) for i in range(9)]
+    rows += [(200, "https://two.org/a", soup(1, "<p>A</p>")), (201, "https://two.org/b", soup(2, "<p>B</p>"))]
+    rows += [(300 + i, "https://same.org/", soup(i, "<p>Equal</p>", f'<div class="menu">{i}</div>')) for i in range(5)]
+    rows += [(400, "https://s.org/m", "<main><p>Our shop</p></main>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in main_texts(frame).collect()}
+    known = brute_force_template(pages.values())
+    assert set().union(*known.values()) == {"Our shop", "Call us", "All rights reserved"}
+    for i, page in pages.items():
+        assert found[i] == "\n\n".join(t for p, t in slots(page) if t not in known.get(p, ()))
+    assert "Only here" in found[3] and all(found[100 + i] == found[0] for i in range(9))
+    assert found[200].split("\n\n") == ["Our shop", "Call us", "A", "All rights reserved"]  # too few pages to tell
+    assert all("Equal" in found[300 + i] for i in range(5))  # nothing but template: it stays
+    assert found[400] == "Our shop"  # inside the main element
+
+
+def test_ids_of_one_page_are_no_part_of_a_wrapper(spark):
+    rows = [(f"h{i % 2}", f'<article id="post-of-{"abcdefgh"[i % 8]}{i}" class="post-{i}"><p>Text {i}</p></article>') for i in range(300)]
+    found = H.wrappers(spark.createDataFrame(rows, "host string, html string")).collect()
+    assert {(r.host, r.wrapper) for r in found} == {("h0", "article.post-#/p\t"), ("h1", "article.post-#/p\t")}
+    assert slots('<p id="sidebar-7">x</p>') == [("p.sidebar-#", "x")]
+
+
+def test_comments_and_scripts_leave_no_blank():
+    assert slots("<p>wo<!-- c -->rd and<script>x()</script> more</p>") == [("p", "word and more")]
