@@ -135,6 +135,22 @@ def _(t: Tables) -> DataFrame:
     return M.with_class_name(out, "prediction", classes, "predicted").select("vec_id", "name", "predicted")
 
 
+@register(
+    "m13_kernel_error",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    g AS (SELECT 1 / (max(d) * var_pop(x)) AS gamma FROM (SELECT unnest(x) AS x, len(x) AS d FROM v)),
+    k AS (SELECT exp(-gamma * list_distance(a.x, b.x) ^ 2) AS exact FROM v a JOIN v b ON b.vec_id = xor(a.vec_id, 1), g)
+    SELECT count(*) AS n_pairs, round(avg(exact), 6) AS mean_kernel, true AS within_tenth FROM k""",
+)
+def _(t: Tables) -> DataFrame:
+    data = t.embeddings.select("vec_id", "embedding")
+    partner = F.col("vec_id").bitwiseXOR(F.lit(1).cast("long"))
+    error = M.kernel_error(data, "vec_id", partner, "embedding", M.rbf_gamma(data, "embedding", "scale"))
+    return error.select(
+        "n_pairs", F.round("mean_kernel", 6).alias("mean_kernel"), (F.col("rms_error") < 0.1).alias("within_tenth")
+    )
+
+
 @register("m13_svm_grid")
 def _(t: Tables) -> DataFrame:
     data, _ = vectors(t)

@@ -161,6 +161,29 @@ def test_rbf_features_approximate_the_kernel(spark):
             assert mapped[i] @ mapped[j] == pytest.approx(exact, abs=0.08)
 
 
+def test_orthogonal_features_are_closer_than_independent_ones(spark):
+    block = M.orthogonal_directions(8, 20, 1)
+    assert block.shape == (8, 20)
+    across = block[:, :8].T @ block[:, :8]
+    assert np.abs(across - np.diag(np.diag(across))).max() < 1e-9
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(60, 8))
+    frame = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "id int, x array<double>")
+    row = M.kernel_error(frame, "id", F.col("id").bitwiseXOR(F.lit(1)), "x", 0.1, 128).first()
+    exact = [np.exp(-0.1 * np.sum((points[i] - points[i ^ 1]) ** 2)) for i in range(60)]
+    assert row.n_pairs == 60 and row.mean_kernel == pytest.approx(np.mean(exact))
+
+    def independent(seed):
+        draw = np.random.default_rng(seed)
+        turned = points @ (draw.normal(size=(8, 128)) * np.sqrt(0.2)) + draw.uniform(0, 2 * np.pi, 128)
+        z = np.sqrt(2 / 128) * np.cos(turned)
+        return np.sqrt(np.mean([(z[i] @ z[i ^ 1] - exact[i]) ** 2 for i in range(60)]))
+
+    assert row.rms_error < np.mean([independent(s) for s in range(20)])
+    with pytest.raises(ValueError, match="even"):
+        M.with_rbf_features(frame, "x", 0.1, 7)
+
+
 def test_embedding_encodes_whole_texts(spark):
     from folioscope.operators.embed import embed_texts
 
