@@ -158,3 +158,15 @@ def test_preprocess_with_and_without_lemmas(spark):
     assert texts(use_lemma=False) == {1: "chevaux chevaux couraient", 2: "", 3: ""}
     with pytest.raises(ValueError, match="lemma"):
         texts()
+
+
+def test_words_are_looked_up_without_python_objects(spark):
+    docs = [(None, ["a", "z", "b"]), (None, ["c", "a"]), (1, None), (1, ["b", None, "c"])]
+    frame = spark.createDataFrame(docs, "id int, tokens array<string>")
+    vocabulary = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "term string, n_docs int")
+    for hot in (1, 3):
+        found = L.keep_vocabulary(frame, "id", "tokens", vocabulary, "kept", hot)
+        kept = sorted(((r.id is None, r.kept) for r in found.collect()))
+        assert kept == [(False, []), (False, ["b", "c"]), (True, ["a", "b"]), (True, ["c", "a"])]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
