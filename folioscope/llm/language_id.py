@@ -30,8 +30,6 @@ ORDER = 4
 SLOTS = 4_194_301
 #: Bits of a symbol: characters beyond this range share symbols.
 BITS = 12
-#: Rows on which the acceptance levels are calibrated, at most about this number.
-CALIBRATION_ROWS = 20_000
 #: Words whose scores a worker remembers.
 REMEMBERED = 300_000
 BOUNDARY = 32
@@ -243,14 +241,13 @@ def scorer_of(token: str, model: CharModel) -> TextScorer:
     return _SCORERS[token]
 
 
-def entropies(rows: DataFrame, model: CharModel, kept: list[str], text: str, levels: dict[str, float] | None) -> DataFrame:
-    """``rows[kept]`` with ``lang_pred, score, entropy, accepted``."""
+def entropies(rows: DataFrame, model: CharModel, kept: list[str], text: str) -> DataFrame:
+    """``rows[kept]`` with ``lang_pred, score, entropy, accepted``, every text with a letter being accepted."""
     import uuid
 
     spark = rows.sparkSession
     token, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
     groups = model.groups
-    limits = np.array([(levels or {}).get(g, np.inf) for g in groups])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(token, shared.value)
@@ -268,12 +265,10 @@ def entropies(rows: DataFrame, model: CharModel, kept: list[str], text: str, lev
                 else:
                     best, low, share = np.zeros(len(per), int), np.zeros(len(per)), np.zeros(len(per))
                 blank = (size == 0) | (not groups)
-                good = ~blank & (low <= (limits[best] if groups else 0))
-                names = [None if b else groups[i] for b, i in zip(blank, best, strict=True)]
-                score = np.where(blank, 0.0, np.where(good, share, share / 2))
+                names = ["und" if b else groups[i] for b, i in zip(blank, best, strict=True)]
                 new = [
-                    pa.array([n or "und" for n in names]), pa.array(score), pa.array(np.where(blank, 0.0, low)),
-                    pa.array(good),
+                    pa.array(names, pa.string()), pa.array(np.where(blank, 0.0, share)),
+                    pa.array(np.where(blank, 0.0, low)), pa.array(~blank),
                 ]
                 yield pa.RecordBatch.from_arrays(some.columns[1:] + new, names=[*kept, "lang_pred", "score", "entropy", "accepted"])
 
@@ -286,23 +281,25 @@ def entropies(rows: DataFrame, model: CharModel, kept: list[str], text: str, lev
 
 def identify_languages(
     docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    quantile: float = 0.995, calibration_rows: int = CALIBRATION_ROWS,
+    quantile: float = 0.995,
 ) -> DataFrame:
     """``key, lang_pred, score, entropy, accepted`` of every row, learnt from the rows where ``training`` holds.
 
     ``score`` is the chosen language's share of the probability of 64 symbols of this entropy, halved for a text that
-    its language does not accept.
+    its language does not accept. Every text is scored once; the acceptance levels come from all training rows.
     """
-    learnt = docs.where(training & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("group"), F.col(text).alias("content"), F.xxhash64(key).alias("_place")
-    )
+    known = F.when(training, F.col(lang))
+    learnt = docs.where(known.isNotNull()).select(F.col(lang).alias("group"), F.col(text).alias("content"))
     counts = materialised(gram_counts(learnt), "language_counts")
     model = CharModel.load(materialised(kneser_ney(counts), "language_model"))
-    n = learnt.count()
-    share = F.pmod("_place", F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, calibration_rows / max(n, 1))))
-    own = entropies(learnt.where(share), model, ["group"], "content", None)
-    levels = own.where((F.col("lang_pred") == F.col("group")) & (F.col("score") > 0)).groupBy("group").agg(
-        F.percentile_approx("entropy", quantile).alias("level")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), known.alias("_known"))
+    scored = materialised(entropies(rows, model, ["_key", "_known"], "_text"), "language_entropies")
+    own = scored.where((F.col("lang_pred") == F.col("_known")) & (F.col("score") > 0))
+    levels = own.groupBy("lang_pred").agg((F.percentile_approx("entropy", quantile) * 1.02).alias("_level"))
+    # One row per language.
+    judged = scored.join(F.broadcast(levels), "lang_pred", "left")
+    accepted = F.col("accepted") & F.coalesce(F.col("entropy") <= F.col("_level"), F.lit(True))
+    return judged.select(
+        F.col("_key").alias(key), "lang_pred", F.when(accepted, F.col("score")).otherwise(F.col("score") / 2).alias("score"),
+        "entropy", accepted.alias("accepted"),
     )
-    limits = {r.group: r.level * 1.02 for r in levels.collect()}
-    return entropies(docs.select(key, text), model, [key], text, limits)

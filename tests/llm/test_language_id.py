@@ -62,3 +62,15 @@ def test_predictions_and_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in found)
     assert identify_languages(docs.limit(0), F.lit(True)).collect() == []
     assert {r.lang_pred for r in identify_languages(docs, F.lit(False)).collect()} == {"und"}
+
+
+def test_levels_come_from_every_training_text(spark):
+    """The only odd text of a language is one that a sample of 20,000 of the 24,000 by hash of the key would miss."""
+    ids = spark.range(24000).withColumnRenamed("id", "doc_id")
+    odd = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) > 900_000).orderBy("doc_id").first().doc_id
+    plain = F.get(F.array(*map(F.lit, EN)), (F.col("doc_id") % 3).cast("int"))
+    text = F.when(F.col("doc_id") == odd, F.lit("the qzj xkv wvq zzx jqk")).otherwise(plain)
+    docs = ids.select("doc_id", text.alias("text"), F.lit("en").alias("lang"))
+    found = identify_languages(docs, F.lit(True), quantile=1.0)
+    assert found.where("accepted").count() == 24000
+    assert found.where(F.col("doc_id") == odd).first().entropy > 1.1 * found.where(F.col("doc_id") != odd).agg(F.max("entropy")).first()[0]
