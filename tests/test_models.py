@@ -270,3 +270,19 @@ def test_side_by_side_shows_every_class(spark):
     top = spark.createDataFrame([(c, 1, c + "w", 1.0) for c in "abcde"], "class string, rank int, feature string, coef double")
     blocks = O.side_by_side_blocks(top, list("abcde"))
     assert [len(b.columns) for b in blocks] == [7, 5] and blocks[1].first()["e - mot"] == "ew"
+
+
+def test_models_of_a_grid_search_predict_out_of_fold(spark):
+    rows = [(i, float(i % 2), i // 2 % 3, [float(i % 2) + 0.01 * i, 1.0]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "id long, label_index double, fold int, x array<double>")
+    frame = frame.withColumn("features", M.array_to_vector("x"))
+    fits = []
+
+    def fit(part, C):
+        fits.append(C)
+        return M.fit_logistic(part, C=C)
+
+    best, score, models = M.grid_models(frame, 3, [{"C": 1.0}, {"C": 1.0}], fit)
+    found = {r.id: r.prediction for r in M.held_out_rows(frame, models).collect()}
+    assert len(fits) == 6 and best == {"C": 1.0} and 0 <= score <= 1
+    assert found == {r.id: r.prediction for r in M.out_of_fold(frame, 3, lambda part: fit(part, 1.0)).collect()}
