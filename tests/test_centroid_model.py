@@ -2,6 +2,7 @@
 
 import pytest
 
+from folioscope.operators.lexical import term_totals
 from folioscope.plans.centroid_model import fit_centroid_model
 
 ROWS = [
@@ -32,3 +33,27 @@ def test_probabilities_and_no_exchange_of_documents(model):
     assert set(rows[6].proba.values()) == {1 / 3}
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and "Generate" not in plan
+
+
+def test_cosines_are_weighed_in_batches_not_by_a_matrix_in_every_row(model):
+    """The same numbers, bit for bit, as adding up the entries one by one."""
+    units = {}
+    for label in "abc":
+        total = [0.0] * model.size
+        for r in model.documents.where(f"label = '{label}'").collect():
+            total = [t + v for t, v in zip(total, r.features.toArray(), strict=True)]
+        norm = sum(t * t for t in total) ** 0.5
+        units[label] = [t / norm if norm else 0.0 for t in total]
+    scored = model.with_cosines()
+    for r in scored.collect():
+        for label, cosine in r._cosines.items():
+            assert cosine == pytest.approx(sum(r.features.toArray() * units[label]), abs=1e-12)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "lambdafunction" not in plan
+
+
+def test_terms_are_counted_without_functions_of_single_tokens(spark):
+    rows = [(["x", "y", "x"],), (["x"],), ([],), (None,)]
+    out = term_totals(spark.createDataFrame(rows, "tokens array<string>"), "tokens")
+    assert {tuple(r) for r in out.collect()} == {("x", 3, 2), ("y", 1, 1)}
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
