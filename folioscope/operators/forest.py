@@ -172,7 +172,10 @@ def bin_edges(df: DataFrame, features: str) -> list[np.ndarray]:
     rows = long.groupBy("j").agg(
         F.percentile_approx("x", inner, 10_000).alias("q"), F.min("x").alias("least"), F.max("x").alias("most")
     )
-    ends = ((np.unique([r.least, *r.q]), r.most) for r in rows.orderBy("j").collect())
+    found = rows.orderBy("j").collect()
+    if not np.isfinite([[r.least, r.most] for r in found]).all():
+        raise ValueError("features must be finite numbers")
+    ends = ((np.unique([r.least, *r.q]), r.most) for r in found)
     return [values[values < most] for values, most in ends]
 
 
@@ -387,12 +390,15 @@ def grow_forest(
     train: DataFrame, features: str, label: str, weight: str, seed: int, n_trees: int, max_depth: int, min_leaf: int,
     strategy: str,
 ) -> Forest:
-    """Fit on the rows with features and a label."""
-    known = train.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(features, label, weight)
-    stored = materialised(known.withColumn("_row", F.monotonically_increasing_id()), "drawn")
-    n, most = stored.agg(F.count("*"), F.max(label)).first()
+    """Fit on rows that all have a class index and finite features; others are an error, as they are in Spark ML."""
+    data = train.select(features, label, weight).withColumn("_row", F.monotonically_increasing_id())
+    stored = materialised(data, "drawn")
+    named = F.coalesce((F.col(label) >= 0) & (F.col(label) == F.floor(label)), F.lit(False))
+    n, most, odd = stored.agg(F.count("*"), F.max(label), F.count_if(~named | F.col(features).isNull())).first()
+    if odd:
+        raise ValueError("labels must be class indices and features must not be null")
     if not n:
-        raise ValueError("no row has features and a label, so there is no forest to fit")
+        raise ValueError("there is no row, so there is no forest to fit")
     edges = bin_edges(stored, features)
     rules = Rules(len(edges), int(most) + 1, tried_count(strategy, len(edges)), seed, max_depth, min_leaf)
     blocks = packed(spread(stored, "_row"), features, label, weight, edges)
