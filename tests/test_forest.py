@@ -8,7 +8,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from folioscope.operators import forest as module
+from folioscope.operators import models
 from folioscope.operators.models import fit_forest
+from folioscope.plans import catalog_models  # noqa: F401
+from folioscope.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +96,57 @@ def test_rows_that_cannot_be_learned_from_are_an_error(rows):
         fit_forest(rows.withColumn("features", array_to_vector(odd)), weighted=False)
     without = rows.withColumn("label_index", F.when(F.col("id") != 5, F.col("label_index")))
     assert fit_forest(without, n_estimators=1).trees.count() == 1
+
+
+GRID = {"n_estimators": [5, 3], "max_depth": [None, 2], "min_samples_split": [2, 60], "min_samples_leaf": [1, 9],
+        "max_features": ["sqrt", "log2"]}
+
+
+def test_points_that_share_trees_predict_as_forests_of_their_own(rows, monkeypatch):
+    monkeypatch.setattr(module, "TREES", 2)
+    numbered = rows.withColumns({"row": F.col("id").cast("long"), "fold": F.col("id") % 2}).cache()
+    points = models.grid_points(GRID)
+    found = {r.row: r.predicted for r in module.search_forest_folds(numbered, 2, points).collect()}
+    assert sorted(found) == list(range(400)) and {len(p) for p in found.values()} == {32}
+    assert len({tuple(found[i][p] for i in found) for p in range(32)}) > 8
+    train, held_out = numbered.where("fold = 1"), numbered.where("fold = 0")
+    for p in (0, 6, 9, 15, 20, 27, 31):
+        own = fit_forest(train, deepest=module.ENDLESS, row="row", **points[p])
+        assert {r.id: int(r.prediction) for r in own.transform(held_out).collect()} == {i: found[i][p] for i in found if i % 2 == 0}
+
+
+def test_search_of_many_rows_equals_that_in_tasks(rows, monkeypatch):
+    folded = rows.withColumn("fold", F.col("id") % 2)
+    grid = {**GRID, "n_estimators": [3], "min_samples_leaf": [4], "max_features": ["sqrt"]}
+    best, score, out = models.forest_grid_search(folded, 2, grid)
+    given = {r.id: r.prediction for r in out.collect()}
+    monkeypatch.setattr(models, "IN_TASK_BYTES", 0)
+    again, same, out = models.forest_grid_search(folded, 2, grid)
+    assert again == best and np.isclose(score, same) and {r.id: r.prediction for r in out.collect()} == given
+    truth = {r.id: r.label_index for r in rows.collect()}
+    assert np.mean([given[i] == truth[i] for i in given]) > 0.6
+
+
+def test_the_query_searches_the_whole_grid(spark, tmp_path, monkeypatch):
+    draw = np.random.default_rng(5)
+    data = [(i, draw.normal(size=4).tolist(), i % 2) for i in range(40)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+
+    def search(rows, k, points, **other):
+        seen.append((k, points))
+        few = [{**p, "n_estimators": 2} for p in points]
+        return module.search_forest_folds(rows, k, few, **other)
+
+    monkeypatch.setattr(models, "search_forest_folds", search)
+    report = QUERIES["m11_random_forest"](spark, str(tmp_path)).collect()
+    assert [(k, len(points)) for k, points in seen] == [(5, 216)] and len(report) > 2
+    assert {p["n_estimators"] for p in seen[0][1]} == {500, 750, 1000}
+
+
+def test_a_node_of_too_few_rows_is_not_split():
+    draw = np.random.default_rng(3)
+    x, y, ones = draw.integers(0, 32, (500, 5)).astype(np.uint8), draw.integers(0, 3, 500), np.ones(500)
+    rules = module.Rules(5, 3, 5, 42, 30, 1, 40)
+    tree = module.grown(rules, rules.root_seed(0), 0, x, y, ones, ones)
+    assert tree["size"][tree["left"] >= 0].min() >= 40 and (tree["size"][tree["left"] < 0] < 40).any()
